@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import quality
+from leafmill.llm import decontam, quality, simhash, tokenbin, warc
 from leafmill.llm.common import table
 
 
@@ -14,6 +14,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE}
+
+def op4_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenbin.read(*tokenbin.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(*warc.write(table(spark, sf_dir, "pages"))).drop("payload")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_benchmark_decontamination, op4_token_id_output, op8_warc, op10_simhash)}
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.ORACLE, "op2_benchmark_decontamination": decontam.ORACLE, "op8_warc": warc.ORACLE}
