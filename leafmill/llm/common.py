@@ -25,7 +25,7 @@ def lower_ascii(text: Column) -> Column:
 
 def split_words(text: Column, at: str = SPACE) -> Column:
     """The words of a text in order; null has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), at), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), at), "")
 
 
 def let(value: Column, body) -> Column:

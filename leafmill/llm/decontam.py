@@ -124,8 +124,8 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, len, array_to_string(w[i:i + len - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), {WINDOW}) AS len, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len FROM bw),
-at AS (SELECT doc_id, len, w, unnest(range(1, len(w) - len + 2)) AS i FROM d, sizes WHERE len(w) >= len),
-hit AS (SELECT doc_id, i, at.len, item_id FROM (SELECT doc_id, i, len, array_to_string(w[i:i + len - 1], ' ') AS win FROM at) at JOIN bw ON at.len = bw.len AND at.win = bw.win),
+pl AS (SELECT doc_id, len, w, unnest(range(1, len(w) - len + 2)) AS i FROM d, sizes WHERE len(w) >= len),
+hit AS (SELECT doc_id, i, p.len, item_id FROM (SELECT doc_id, i, len, array_to_string(w[i:i + len - 1], ' ') AS win FROM pl) p JOIN bw ON p.len = bw.len AND p.win = bw.win),
 covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT DISTINCT doc_id, i, len FROM hit) h, range({WINDOW}) r(k) WHERE k < h.len) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= {MIN_ITEMS} AS contaminated

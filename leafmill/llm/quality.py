@@ -27,8 +27,8 @@ BOILERPLATE = (
     "cookie policy|accept all cookies|privacy policy|terms of (use|service)|enable javascript|javascript is (disabled|required)"
     "|click here to|subscribe to our newsletter|sign up for our|follow us on|share this (page|article|post)|all rights reserved|lorem ipsum"
 )
-#: Longer lines may mention such a phrase in prose.
-BOILERPLATE_WORDS = 25
+#: Lines of more words, or of words this long on average, may mention such a phrase in prose.
+BOILERPLATE_WORDS, BOILERPLATE_WORD_CHARS = 25, 20
 
 
 def _word_chars(text: Column) -> Column:
@@ -36,19 +36,23 @@ def _word_chars(text: Column) -> Column:
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """How many characters of the text are among chars. One quick search spares most texts the count."""
+    return F.when(text.rlike(f"[{chars}]"), F.length(text) - F.length(F.translate(text, chars, ""))).otherwise(0)
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line breaks the punctuation, navigation or boilerplate rule. A line without words breaks none."""
-    chars = _word_chars(line)
-    words = F.size(split_words(line))
-    symbols = F.lit(100) * _count_of(line, SYMBOLS) > F.lit(MAX_SYMBOL_PERCENT) * chars
-    shouting = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit(""))) > words) & (words >= SHOUT_WORDS)
-    separators = _count_of(line, SEPARATORS)
-    navigation = (separators >= 3) & (separators * 4 >= words)
-    boilerplate = (words <= BOILERPLATE_WORDS) & F.lower(line).rlike(BOILERPLATE)
-    return symbols | shouting | navigation | boilerplate
+
+    def marked(x: Column) -> Column:
+        chars, words = _word_chars(x), F.size(split_words(x))
+        symbols = F.lit(100) * _count_of(x, SYMBOLS) > F.lit(MAX_SYMBOL_PERCENT) * chars
+        shouting = (words >= SHOUT_WORDS) & (F.length(x) - F.length(F.replace(x, F.lit("!!"), F.lit(""))) > words)
+        separators = _count_of(x, SEPARATORS)
+        return symbols | shouting | ((separators >= 3) & (separators * 4 >= words))
+
+    # prose has none of these marks, and is done with after one search
+    boilerplate = (F.length(line) <= BOILERPLATE_WORDS * BOILERPLATE_WORD_CHARS) & F.lower(line).rlike(BOILERPLATE) & (F.size(split_words(line)) <= BOILERPLATE_WORDS)
+    return (line.rlike(f"[{SYMBOLS}{SEPARATORS}]|!!") & marked(line)) | boilerplate
 
 
 def repeated_words(words: Column) -> Column:
@@ -63,11 +67,12 @@ def repeated_words(words: Column) -> Column:
         again = F.filter(found, lambda x, i: F.coalesce(F.get(found, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(found, i + 1)["h"] == x["h"], F.lit(False)))
         return let(F.sort_array(F.transform(again, lambda x: x["p"])), covered)
 
-    def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]).alias("h"), i.alias("p")))
-        return let(F.sort_array(windows), twice)
+    def of(hashes: Column) -> Column:
+        placed = let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), twice)
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(0)
 
-    return F.when(n >= WINDOW, let(words, of)).otherwise(0)
+    hashes = let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
+    return F.when(n >= WINDOW, let(hashes, of)).otherwise(0)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,14 +83,14 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     made = made.select(
         "row", "whole", "words", "lines",
         F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("spoken"), F.transform("lines", line_fails).alias("bad"),
-        _word_chars(F.col("whole")).alias("word_chars"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
     )
     made = made.select(
         "row", "word_chars", F.size("words").alias("n_words"), _count_of(F.col("whole"), SYMBOLS).alias("n_symbols"),
         (F.size("spoken") - F.size(F.array_distinct("spoken"))).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
         F.array_join(F.filter("lines", lambda x, i: ~F.get(F.col("bad"), i)), "\n").alias("clean_text"),
+        F.when(F.array_contains("bad", True), _word_chars(F.array_join(F.filter("lines", lambda x, i: F.get(F.col("bad"), i)), "\n"))).otherwise(0).alias("lost_chars"),
     )
-    made = made.withColumn("lost_chars", F.col("word_chars") - _word_chars(F.col("clean_text")))
     made = made.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * F.lit(100).cast("long") > F.col("n_words") * F.lit(MAX_REPEAT_PERCENT).cast("long")))
     kept = ~F.col("base_failed") & (F.col("lost_chars") * F.lit(100).cast("long") <= F.col("word_chars") * F.lit(MAX_LOST_PERCENT).cast("long"))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars")]
@@ -114,7 +119,7 @@ rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id,
 line AS (SELECT doc_id, unnest(l) AS x FROM w),
 judged AS (SELECT doc_id, x, length(regexp_replace(x, '[ \t-\r]+', '', 'g')) AS c, len(list_filter(regexp_split_to_array(x, '[ \t-\r]+'), lambda y: y <> '')) AS n,
   length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS s, length(x) - length(replace(x, '!!', '')) AS sh, length(x) - length(regexp_replace(x, '[|»›•·→]', '', 'g')) AS sep FROM line),
-lost AS (SELECT doc_id, sum(CASE WHEN 100 * s > {MAX_SYMBOL_PERCENT} * c OR (sh > n AND n >= {SHOUT_WORDS}) OR (sep >= 3 AND sep * 4 >= n) OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{BOILERPLATE}')) THEN c ELSE 0 END) AS lost_chars FROM judged GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(CASE WHEN 100 * s > {MAX_SYMBOL_PERCENT} * c OR (sh > n AND n >= {SHOUT_WORDS}) OR (sep >= 3 AND sep * 4 >= n) OR (n <= {BOILERPLATE_WORDS} AND length(x) <= {BOILERPLATE_WORDS * BOILERPLATE_WORD_CHARS} AND regexp_matches(lower(x), '{BOILERPLATE}')) THEN c ELSE 0 END) AS lost_chars FROM judged GROUP BY doc_id),
 base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest(l) AS x) WHERE regexp_matches(x, '[^ \t-\r]'))::BIGINT AS n_dup_lines FROM w)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, base_failed,

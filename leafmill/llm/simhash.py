@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm.common import cut
 from leafmill.llm.components import components
@@ -53,7 +54,7 @@ def _fingerprint(text: str | None) -> int:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """The fingerprint as a signed long with the same 64 bits."""
     return pd.Series(np.fromiter(map(_fingerprint, texts), np.int64, len(texts)))
