@@ -276,15 +276,24 @@ def links(fps: DataFrame, parts: int | None = None, place: int = PLACE) -> DataF
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, fp, component for each row of docs; component is the smallest id reachable over links."""
+    """doc, fp, label, component for each row of docs; label is the smallest fingerprint reachable over links, component the smallest id."""
     made = cut(docs.select(F.col(key).alias("doc"), fingerprint(F.col(text)).alias("fp")))
     fps = cut(made.groupBy("fp").agg(F.min("doc").alias("least")))
     found = components(links(fps))
     of = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("least").alias("component"))
-    of = of.join(least, "label").select("fp", "component")
+    of = of.join(least, "label").select("fp", "label", "component")
     return made.join(of, "fp")
 
 
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those of which a near-duplicate with a smaller id stays: of each component the row with the smallest id (of several such rows, one)."""
+    least = classes(docs, key, text).groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("unknown"), "doc", "fp")).alias("r"))
+    found = least.select("r.doc", "r.fp")
+    own = docs.withColumn("__fp", fingerprint(F.col(text)))
+    kept = own.join(found.select(F.col("doc").alias("__doc"), F.col("fp").alias("__f2")), F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__fp") == F.col("__f2")), "left_semi")
+    return kept.dropDuplicates([key, "__fp"]).select(*docs.columns)
+
+
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return classes(docs, key, text).select(F.col("doc").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
