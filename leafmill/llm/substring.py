@@ -27,6 +27,8 @@ ANCHOR = WINDOW // 2
 BATCH = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Hashes travel with 48 bits: enough for hits, which are only a first choice; sequences are told apart by 32 more.
+_TRIM = np.uint64(16)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -118,7 +120,7 @@ PACKED = "part int, batch bigint, n int, h binary, h2 binary, many binary, at bi
 def _anchors(b: _Batch) -> tuple[np.ndarray, ...]:
     """Hash, no second one, place, whether it is a reference block."""
     at = b.places(ANCHOR)
-    return rolling(b.h, ANCHOR)[at], None, at, (at - b.starts[b.doc_of(at)]) % ANCHOR == 0
+    return rolling(b.h, ANCHOR)[at] >> _TRIM, None, at, (at - b.starts[b.doc_of(at)]) % ANCHOR == 0
 
 
 def _candidates(b: _Batch) -> tuple[np.ndarray, ...]:
@@ -130,7 +132,7 @@ def _candidates(b: _Batch) -> tuple[np.ndarray, ...]:
         np.add.at(near, start + np.minimum(at + 1, size), -1)
     at = b.places(WINDOW)
     at = at[np.cumsum(near)[at] > 0]
-    return rolling(b.h, WINDOW)[at], rolling(b.h, WINDOW, _OTHER)[at], at, np.zeros(len(at), bool)
+    return rolling(b.h, WINDOW)[at] >> _TRIM, (rolling(b.h, WINDOW, _OTHER)[at] >> np.uint64(32)).astype(np.uint32), at, np.zeros(len(at), bool)
 
 
 def _send(parts: int, entries):
@@ -154,17 +156,15 @@ def _send(parts: int, entries):
             ends = np.r_[first[1:], len(h)]
             blocks = np.maximum.reduceat(block, first).astype(np.uint8)
             doc = b.doc_of(at[first])
-            part = ((h[first] >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[by], np.arange(parts + 1))
+            bounds = np.searchsorted((h[first] >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))  # parts are ranges of hashes
             rows = [(int(number % parts), number, -1, None, None, None, pack(b.starts), None, pack(b.docs), pack(b.fps))]
             for p in range(parts):
-                own = by[bounds[p] : bounds[p + 1]]
-                if len(own):
+                own = slice(bounds[p], bounds[p + 1])
+                if bounds[p] < bounds[p + 1]:
                     many = ends[own] - first[own]
                     places = at[np.repeat(first[own], many) + _within(many)].astype(np.uint32)
                     exact = () if h2 is None else (h2[first[own]], b.docs[doc[own]], b.fps[doc[own]], (at[first[own]] - b.starts[doc[own]]).astype(np.uint32))
-                    rows.append((p, number, len(own), pack(np.diff(h[first[own]], prepend=np.uint64(0))), pack(exact[0]) if exact else None, pack(many.astype(np.uint32)), pack(places), pack(exact[3]) if exact else pack(blocks[own]), pack(exact[1]) if exact else None, pack(exact[2]) if exact else None))
+                    rows.append((p, number, len(many), pack(np.diff(h[first[own]], prepend=np.uint64(0))), pack(exact[0]) if exact else None, pack(many.astype(np.uint32)), pack(places), pack(exact[3]) if exact else np.packbits(blocks[own]).tobytes(), pack(exact[1]) if exact else None, pack(exact[2]) if exact else None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PACKED.split(", ")])
 
     return run
@@ -174,7 +174,7 @@ def _hits(rows: list) -> Iterator[tuple[int, np.ndarray]]:
     """Of the entries of one part: all places of hashes with two places or more and a reference block among them."""
     h = np.concatenate([np.cumsum(unpack(r.h, np.uint64)) for r in rows])
     many = np.concatenate([unpack(r.many, np.uint32) for r in rows]).astype(np.int64)
-    block = np.concatenate([unpack(r.block, np.uint8) for r in rows])
+    block = np.concatenate([np.unpackbits(np.frombuffer(r.block, np.uint8), count=r.n) for r in rows])
     order = np.argsort(h, kind="stable")
     first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
     good = (np.add.reduceat(many[order], first) > 1) & (np.maximum.reduceat(block[order], first) > 0)
@@ -192,7 +192,7 @@ def _later(rows: list) -> Iterator[tuple[int, np.ndarray]]:
     """Of the entries of one part: the places of each sequence but the first of all."""
     h = np.concatenate([np.cumsum(unpack(r.h, np.uint64)) for r in rows])
     many = np.concatenate([unpack(r.many, np.uint32) for r in rows]).astype(np.int64)
-    h2, start = np.concatenate([unpack(r.h2, np.uint64) for r in rows]), np.concatenate([unpack(r.block, np.uint32) for r in rows])
+    h2, start = np.concatenate([unpack(r.h2, np.uint32) for r in rows]), np.concatenate([unpack(r.block, np.uint32) for r in rows])
     doc, fp = np.concatenate([unpack(r.doc, np.int64) for r in rows]), np.concatenate([unpack(r.fp, np.int64) for r in rows])
     order = np.lexsort((start, fp, doc, h2, h))
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
@@ -254,18 +254,25 @@ def _exchange(docs: DataFrame, entries, judge) -> DataFrame:
     parts = partitions(docs.sparkSession)
     sent = docs.mapInPandas(_send(parts, entries), PACKED)
     picked = sent.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_receive(judge), "batch bigint, at binary, docs binary, fps binary, starts binary")
-    made = cut(picked.groupBy("batch").applyInPandas(_by_document, "doc bigint, fp bigint, places binary"))
-    gc.collect()  # shuffle files go once nothing refers to them
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    return made
+    return cut(picked.groupBy("batch").applyInPandas(_by_document, "doc bigint, fp bigint, places binary"))
+
+
+def _free(df: DataFrame) -> None:
+    """Shuffle files go once nothing refers to them: asks both collectors to find that out."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, fp, places: starts of the windows whose words start earlier too. docs: doc (no null), fp, text."""
     hits = _exchange(docs, _anchors, _hits)
+    _free(docs)
     hit = hits.select(F.col("doc").alias("d2"), F.col("fp").alias("f2"), F.col("places").alias("hits")).dropDuplicates(["d2", "f2"])
     held = docs.join(hit, (F.col("doc") == F.col("d2")) & (F.col("fp") == F.col("f2"))).select("doc", "fp", "text", "hits")
-    return _exchange(held, _candidates, _later).dropDuplicates(["doc", "fp"])
+    made = _exchange(held, _candidates, _later).dropDuplicates(["doc", "fp"])
+    del held
+    _free(docs)
+    return made
 
 
 def covered(n: int, places: bytes | None) -> np.ndarray:
@@ -281,7 +288,9 @@ def covered(n: int, places: bytes | None) -> np.ndarray:
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """n_words, n_removed, kept_sha256 (of the words that stay, joined by spaces) for each row of docs."""
     least = F.lit(-(1 << 63)).cast("long")
-    own = docs.select(F.coalesce(F.col(key).cast("long"), least).alias("doc"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+    ids = F.coalesce(F.col(key).cast("long"), least).alias("doc")
+    single = docs.select(ids).groupBy("doc").count().where("count > 1").isEmpty()  # then ids alone tell documents apart
+    own = docs.select(ids, (F.lit(0).cast("long") if single else F.xxhash64(text)).alias("fp"), F.col(text).alias("text"))
     gone = repeats(own).select(F.col("doc").alias("d2"), F.col("fp").alias("f2"), "places")
     joined = own.join(gone, (F.col("doc") == F.col("d2")) & (F.col("fp") == F.col("f2")), "left").select("doc", "text", "places")
 
