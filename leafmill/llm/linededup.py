@@ -10,7 +10,6 @@ Null text has no lines; null ids come first. Rows with one doc_id are told apart
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, free
 from leafmill.llm.components import components
 
 MAX_EDITS = 2
 MIN_CHARS = 24
 #: Lines that one place compares with one another; larger ones are split into blocks of half of it.
 PLACE = 512
+#: Characters of the pairs that are compared at a time.
+AREA = 2_000_000
 #: Lines a task remembers having sent.
-SEEN = 1_000_000
+SEEN = 300_000
 SEED = 42
 
 
@@ -108,17 +109,21 @@ def _signed(x: list[int]) -> np.ndarray:
 
 
 def _fresh(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, str]]]:
-    """The long lines of each batch with their ids, each once a task as far as it remembers."""
+    """Long lines with their ids, about AREA characters at a time, each once a task as far as it remembers."""
     seen: set[int] = set()
     for x in batches:
-        out = []
+        out, held = [], 0
         for t in x["text"]:
             for line in _lines(t):
                 if len(line) >= MIN_CHARS and (i := _id(line)) not in seen:
                     seen.add(i)
                     out.append((i, line))
+                    held += len(line)
             if len(seen) > SEEN:
                 seen.clear()
+            if held > AREA:
+                yield out
+                out, held = [], 0
         yield out
 
 
@@ -166,7 +171,8 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k, p = x["key"].to_numpy(), x["place"].to_numpy()
         run = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])]) - 1
         left = np.cumsum(np.bincount(run))[run] - np.arange(len(x)) - 1
-        codes, sizes = _codes(x["line"].tolist())
+        lines = x["line"].tolist()
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         own, side, ids = x["own"].to_numpy(), x["side"].to_numpy(), x["id"].to_numpy()
         label = np.arange(len(x))
         for gap in range(1, int(left.max(initial=0)) + 1):
@@ -174,10 +180,14 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             j = i + gap
             ok = (label[i] != label[j]) & (own[i] | own[j]) & (ids[i] != ids[j]) & (np.abs(sizes[i] - sizes[j]) <= MAX_EDITS) & ((side[i] != side[j]) | (side[i] < 0))
             i, j = i[ok], j[ok]
-            for at in range(0, len(i), 20_000):
-                a, b = i[at : at + 20_000], j[at : at + 20_000]
-                width = int(max(sizes[a].max(), sizes[b].max()))
-                near = within(codes[a, :width], codes[b, :width], sizes[a], sizes[b])
+            order = np.argsort(sizes[i], kind="stable")  # pairs of like length together, so many that they fill AREA
+            i, j, at = i[order], j[order], 0
+            while at < len(i):
+                n = int(np.searchsorted(np.arange(1, len(i) - at + 1) * (sizes[i[at:]] + MAX_EDITS), AREA, side="right")) or 1
+                a, b = i[at : at + n], j[at : at + n]
+                at += n
+                (x_a, n_a), (x_b, n_b) = (_codes([lines[k] for k in side_of]) for side_of in (a, b))
+                near = within(x_a, x_b, n_a, n_b)
                 for u, v in zip(a[near].tolist(), b[near].tolist(), strict=True):  # labels of a run only: joined lines are not compared again
                     u, v = label[u], label[v]
                     if u != v:
@@ -187,17 +197,11 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": ids[star], "b": ids[label[star]]})
 
 
-def _free(df: DataFrame) -> None:
-    """Lets go of shuffle files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def links(docs: DataFrame, place: int = PLACE) -> DataFrame:
     """a, b: ids of different lines within the threshold, a spanning star a place. docs: column text."""
     sent = docs.mapInPandas(_places, "key bigint, id bigint, own boolean")
     shared = cut(sent.repartition("key").sortWithinPartitions("key", "id").mapInPandas(_shared, "key bigint, id bigint, own boolean, size bigint"))
-    _free(docs)
+    free(docs.sparkSession)
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines in _fresh(batches):
@@ -213,7 +217,7 @@ def links(docs: DataFrame, place: int = PLACE) -> DataFrame:
     dealt = shared.withColumn("blocks", blocks).select("key", "id", "own", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(pairs)).alias("p")).select("key", "id", "own", "p.place", "p.side")
     met = dealt.join(lines, "id").repartition("key", "place").sortWithinPartitions("key", "place", "id")
     made = cut(met.mapInPandas(_verified, "a bigint, b bigint").distinct())
-    _free(docs)
+    free(docs.sparkSession)
     return made
 
 

@@ -9,7 +9,6 @@ Null text has no words; documents come in the order of their ids, null first, th
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, partitions
+from leafmill.llm.common import cut, free, partitions
 
 WINDOW = 20
 ANCHOR = WINDOW // 2
@@ -257,21 +256,15 @@ def _exchange(docs: DataFrame, entries, judge) -> DataFrame:
     return cut(picked.groupBy("batch").applyInPandas(_by_document, "doc bigint, fp bigint, places binary"))
 
 
-def _free(df: DataFrame) -> None:
-    """Shuffle files go once nothing refers to them: asks both collectors to find that out."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, fp, places: starts of the windows whose words start earlier too. docs: doc (no null), fp, text."""
     hits = _exchange(docs, _anchors, _hits)
-    _free(docs)
+    free(docs.sparkSession)
     hit = hits.select(F.col("doc").alias("d2"), F.col("fp").alias("f2"), F.col("places").alias("hits")).dropDuplicates(["d2", "f2"])
     held = docs.join(hit, (F.col("doc") == F.col("d2")) & (F.col("fp") == F.col("f2"))).select("doc", "fp", "text", "hits")
     made = _exchange(held, _candidates, _later).dropDuplicates(["doc", "fp"])
     del held
-    _free(docs)
+    free(docs.sparkSession)
     return made
 
 

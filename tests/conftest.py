@@ -39,8 +39,10 @@ def rows(frame):
     """Rows of a pandas frame as a sorted list of tuples, columns by name, nulls as None, floats rounded."""
     import math
 
+    import pandas as pd
+
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         if hasattr(v, "item"):
             v = v.item()
