@@ -171,7 +171,7 @@ def dereference(spark, d):
     return graph.dereference(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst")), aliases)
 
 
-@query("SELECT c_custkey AS node, CASE WHEN c_custkey % 16 = 0 THEN c_mktsegment ELSE (SELECT c2.c_mktsegment FROM customer c2 WHERE c2.c_custkey = c.c_custkey - c.c_custkey % 16) END AS value, CASE WHEN c_custkey % 16 = 0 OR c_custkey >= 16 THEN c_custkey % 16 END AS depth FROM customer c")
+@query("SELECT c.c_custkey AS node, a.c_mktsegment AS value, CASE WHEN a.c_custkey IS NOT NULL THEN c.c_custkey % 16 END AS depth FROM customer c LEFT JOIN customer a ON a.c_custkey = c.c_custkey - c.c_custkey % 16")
 def inherited_resources(spark, d):
     """R2: each node's own or inherited value; every sixteenth customer has one, the others climb from number to number."""
     own = t(spark, d, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") - 1).alias("parent"), F.when(F.col("c_custkey") % 16 == 0, F.col("c_mktsegment")).alias("value"))
