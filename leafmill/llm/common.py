@@ -40,6 +40,29 @@ def doc_words(text: Column) -> Column:
     return split_words(lower_ascii(text), NOT_WORD)
 
 
+#: Words of a stretch, its surroundings aside.
+STRETCH = 256
+
+
+def stretches(words: Column, before: int, after: int, size: int = STRETCH) -> Column:
+    """An array of structs that together hold the words: first (place of the stretch's first word), base (place of the first word in w) and w, the stretch's `size` words with up to `before` words and `after` words around it. Without words there is one empty stretch. What is exploded further carries a stretch along, never a whole text, so work stays in proportion to the text."""
+
+    def cut_at(w: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(size))
+        base = lambda f: F.greatest(f - before, F.lit(0))
+        return F.transform(firsts, lambda f: F.struct(f.alias("first"), base(f).alias("base"), F.slice(w, base(f) + 1, f - base(f) + size + after).alias("w")))
+
+    return let(words, cut_at)
+
+
+def runs_of(stretch: Column, k: int, size: int = STRETCH) -> Column:
+    """Hashes of the runs of k words that begin within a stretch, in order."""
+    w, start = stretch["w"], stretch["first"] - stretch["base"]
+    end = F.least(start + size, F.size(w) - k + 1) - 1
+    made = F.transform(F.sequence(start, end), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    return F.when(end >= start, made).otherwise(F.expr("array()").cast("array<bigint>"))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder, as a URI, that driver and executors share: under spark.checkpoint.dir, or where that is unset (tests on one machine) under the warehouse."""
     base = checkpoint_base(spark)

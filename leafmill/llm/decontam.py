@@ -2,7 +2,7 @@
 
 A window is 8 consecutive words of an item (an item with fewer words is one window). Its shingles are its runs of three words (of all its words, where it has fewer). The windows are sets of shingles that have to be contained whole in a document window of the same size, so by the prefix principle it is enough to look up one shingle of each: the rarest. What comes out is bounded by position and length and verified word by word.
 
-1. One pass over the documents: shingle hashes are looked up in the broadcast set of all benchmark shingles; the few that match go to the shared folder with the words around them.
+1. One pass over the documents, in stretches of words: shingle hashes are looked up in the broadcast set of all benchmark shingles; the few that match go to the shared folder with the words around them.
 2. Rarity: those matches are counted over the whole corpus. A window with a shingle that never occurs is out at once.
 3. The rarest shingle of each window joins the matches; position and length bounds, then the exact comparison.
 
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, doc_words
+from leafmill.llm.common import cut, doc_words, runs_of, stretches
 
 WINDOW = 8
 SHINGLE = 3
@@ -50,17 +50,13 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
 def _matches(docs: DataFrame, looked_up: DataFrame, k: int, every: bool) -> DataFrame:
     """Places of documents whose k-word shingle is looked up, with the words around; if every, also a row with n_words for each document, at null."""
     around = WINDOW - 1
-    made = docs.select("doc", "fp", "w", _shingles(F.col("w"), k).alias("hs"))
-    own = F.lit(1 if every else 0)
-    hashes = F.concat("hs", F.array(F.lit(None).cast("bigint"))) if every else F.col("hs")
-    made = made.select("doc", "fp", "w", F.posexplode(hashes).alias("at", "h"))
-    found = made.join(F.broadcast(looked_up.select(F.col("h").alias("h2"), F.lit(True).alias("hit"))), F.col("h").eqNullSafe(F.col("h2")))
-    whole = F.col("h").isNull() & (own == 1)
-    first = F.greatest(F.col("at") - around, F.lit(0))
-    return found.select(
-        "doc", "fp", F.lit(k).alias("k"), "h", F.when(whole, None).otherwise(F.col("at")).alias("at"), F.when(whole, None).otherwise(first).alias("first"),
-        F.when(~whole, F.slice("w", first + 1, F.lit(2 * around + SHINGLE))).alias("ctx"), F.size("w").alias("n_words"),
-    )
+    made = docs.select("doc", "fp", "n_words", "s", runs_of(F.col("s"), k).alias("hs"))
+    hashes = F.when(F.col("s.first") == 0, F.concat("hs", F.array(F.lit(None).cast("bigint")))).otherwise(F.col("hs")) if every else F.col("hs")
+    made = made.select("doc", "fp", "n_words", "s", F.posexplode(hashes).alias("i", "h"))
+    found = made.join(F.broadcast(looked_up.select(F.col("h").alias("h2"))), F.col("h").eqNullSafe(F.col("h2")))
+    at = F.when(F.col("h").isNotNull(), F.col("s.first") + F.col("i"))
+    first = F.greatest(at - around, F.lit(0))
+    return found.select("doc", "fp", F.lit(k).alias("k"), "h", at.alias("at"), first.alias("first"), F.when(at.isNotNull(), F.slice("s.w", first - F.col("s.base") + 1, F.lit(2 * around + SHINGLE))).alias("ctx"), "n_words")
 
 
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -70,6 +66,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     sizes = {r["k"]: r["n"] for r in shingles.groupBy("k").agg(F.count_distinct("h").alias("n")).collect()}
     sizes = {SHINGLE: 0} | sizes
     spoken = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("fp"), doc_words(F.col(text)).alias("w"))
+    spoken = spoken.select("doc", "fp", F.size("w").alias("n_words"), F.explode(stretches(F.col("w"), WINDOW - 1, WINDOW + SHINGLE - 1)).alias("s"))
     none = docs.sparkSession.createDataFrame([(None,)], "h bigint")
     passes = []
     for k, n in sorted(sizes.items()):
@@ -114,8 +111,10 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated."""
     _, hits = find(docs, items, key, text)
-    bad = hits.groupBy("doc", "fp").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= MIN_ITEMS).select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"))
-    return docs.join(bad, docs[key].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__fp")), "left_anti")
+    bad = hits.groupBy("doc", "fp").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= MIN_ITEMS).select("doc", "fp")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    kept = rows.join(bad, F.col("row")[key].eqNullSafe(F.col("doc")) & (F.xxhash64(F.col("row")[text]) == F.col("fp")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm.common import cut, doc_words, let
+from leafmill.llm.common import cut, doc_words, let, runs_of, stretches
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Opening words of public license texts and notices.
@@ -67,16 +67,20 @@ def phrase_places(words: Column) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc, fp, n_words, base (label, at); spans: doc, fp, template, label, first, last, cover)."""
     spark = docs.sparkSession
-    grams = spark.createDataFrame(template_grams(), "template string, len int, place int, gram string").withColumn("h", F.xxhash64("gram"))
+    grams = spark.createDataFrame(template_grams(), "template string, len int, place int, gram string").withColumn("h", F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(GRAM)]))
     whole = spark.createDataFrame([(None, None, None, None, None)], "template string, len int, place int, gram string, h bigint")
     looked_up = F.broadcast(grams.unionByName(whole).withColumnRenamed("h", "h2"))
     made = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("fp"), doc_words(F.col(text)).alias("w"))
-    gram_at = lambda w, i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(GRAM)])
-    own = F.when(F.size("w") >= GRAM, let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.xxhash64(gram_at(w, i))))).otherwise(F.expr("array()").cast("array<bigint>"))
-    made = made.select("doc", "fp", "w", F.concat(own, F.array(F.lit(None).cast("bigint"))).alias("hs"))
-    found = made.select("doc", "fp", "w", F.posexplode("hs").alias("at", "h")).join(looked_up, F.col("h").eqNullSafe(F.col("h2")))
-    found = found.where(F.col("h").isNull() | (F.array_join(F.slice("w", F.col("at") + 1, F.lit(GRAM)), " ") == F.col("gram")))
-    found = found.select("doc", "fp", "template", "len", "place", F.when(F.col("h").isNotNull(), F.col("at")).alias("at"), F.size("w").alias("n_words"), F.when(F.col("h").isNull(), phrase_places(F.col("w"))).alias("base"))
+    none = F.expr("array()").cast("array<struct<label:string,at:int>>")
+    base = phrase_places(F.col("w"))
+    made = made.select("doc", "fp", F.size("w").alias("n_words"), base.alias("base"), F.explode(stretches(F.col("w"), 0, GRAM - 1)).alias("s"))
+    own = runs_of(F.col("s"), GRAM)
+    whole_row = F.when(F.col("s.first") == 0, F.concat(own, F.array(F.lit(None).cast("bigint")))).otherwise(own)
+    made = made.select("doc", "fp", "n_words", F.when(F.col("s.first") == 0, F.col("base")).otherwise(none).alias("base"), "s", whole_row.alias("hs"))
+    found = made.select("doc", "fp", "n_words", "base", "s", F.posexplode("hs").alias("i", "h")).join(looked_up, F.col("h").eqNullSafe(F.col("h2")))
+    found = found.where(F.col("h").isNull() | (F.array_join(F.slice("s.w", F.col("i") + 1, F.lit(GRAM)), " ") == F.col("gram")))
+    at = F.when(F.col("h").isNotNull(), F.col("s.first") + F.col("i"))
+    found = found.select("doc", "fp", "template", "len", "place", at.alias("at"), "n_words", F.when(F.col("h").isNull(), F.col("base")).alias("base"))
     found = cut(found)
     by = ("doc", "fp", "template", "len")
     votes = found.where("at IS NOT NULL").withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*by, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))

@@ -29,6 +29,8 @@ AREA = 2_000_000
 #: Lines a task remembers having sent.
 SEEN = 300_000
 SEED = 42
+#: Stands for null ids, which come first.
+NO_ID = -(1 << 63)
 
 
 def segments(n: int, edits: int = MAX_EDITS) -> list[tuple[int, int]]:

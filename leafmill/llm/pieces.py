@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
@@ -197,37 +197,45 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids, decoded for each row of docs. model: a path that every executor has."""
+#: Texts whose ids are held at once.
+ROWS = 256
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _of_texts(docs: DataFrame, model: str, key: str, text: str, columns: str, make) -> DataFrame:
+    """key and what make(model, texts) gives (Arrow arrays), in batches of ROWS; ids never leave Arrow, so that nulls and large ones stay as they are."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
-        for x in batches:
-            for i in range(0, len(x), 256):
-                rows = x.iloc[i : i + 256]
-                ids = [own.encode(t) for t in rows[text]]
-                yield pd.DataFrame({key: rows[key].to_numpy(), "ids": [a.astype(np.int32) for a in ids], "decoded": [own.decode(a.tolist()) for a in ids]})
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *make(own, part.column(1).to_pylist())], names=["key", *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, ids array<int>, decoded string")
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids, decoded for each row of docs. model: a path that every executor has."""
+
+    def make(own: Model, texts: list[str | None]) -> list[pa.Array]:
+        ids = [own.encode(t) for t in texts]
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))), pa.array([own.decode(a.tolist()) for a in ids], pa.string())]
+
+    return _of_texts(docs, model, key, text, "ids array<int>, decoded string", make)
 
 
 def report(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and exact (the decoded text is the text) for each row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = load(model)
-        for x in batches:
-            for i in range(0, len(x), 1024):
-                rows = x.iloc[i : i + 1024]
-                out = []
-                for t in rows[text]:
-                    ids = own.encode(t)
-                    back = own.decode(ids.tolist())
-                    out.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
-                made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "exact"])
-                made.insert(0, key, rows[key].to_numpy())
-                yield made
+    def make(own: Model, texts: list[str | None]) -> list[pa.Array]:
+        rows = []
+        for t in texts:
+            ids = own.encode(t)
+            back = own.decode(ids.tolist())
+            rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
+        return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_()))]
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return _of_texts(docs, model, key, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, exact boolean", make)

@@ -365,6 +365,7 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
     folder = shared_dir(spark, "ids")
     n = partitions(spark)
     sorted_docs = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(n, "doc").sortWithinPartitions("doc", "text")
+    sorted_docs = sorted_docs.select(F.coalesce("doc", F.lit(0).cast("long")).alias("doc"), F.col("doc").isNotNull().alias("known"), "text")  # a null would make all ids of its batch floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -378,8 +379,8 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             for x in batches:
                 for i in range(0, len(x), 500):
                     rows = x.iloc[i : i + 500]
-                    for d, ids in zip(rows["doc"].tolist(), encode_texts(tokenizer, rows["text"].tolist()), strict=True):
-                        writer.add(None if pd.isna(d) else int(d), np.concatenate([ids, stop]))
+                    for d, known, ids in zip(rows["doc"].tolist(), rows["known"].tolist(), encode_texts(tokenizer, rows["text"].tolist()), strict=True):
+                        writer.add(d if known else None, np.concatenate([ids, stop]))
                         total += len(ids) + 1
             writer.close()
 
@@ -415,5 +416,5 @@ def read(folder: str, files: DataFrame) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+    made = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"], dtype=object)
     return made.astype({"doc_id": "Int64", "start": "int64", "n_tokens": "int64", "ids_crc32": "int64"})

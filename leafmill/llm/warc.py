@@ -82,8 +82,8 @@ def write(pages: DataFrame, level: int = 6) -> tuple[str, DataFrame]:
     salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
     heads = cut(revisits(rows.select("page_id", "url", "digest", F.octet_length("payload").alias("bytes")))).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     marked = rows.withColumn("salt", salt).join(heads, ["digest", "salt"], "left")
-    own = F.when((F.col("refers_to") != F.col("page_id")) & (F.octet_length("payload") >= MIN_REVISIT_BYTES), F.col("refers_to"))
-    marked = marked.select("page_id", "url", "payload", "digest", own.alias("refers_to"))
+    own = F.when(~F.col("refers_to").eqNullSafe(F.col("page_id")) & (F.octet_length("payload") >= MIN_REVISIT_BYTES), F.col("refers_to"))
+    marked = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", own.cast("string").alias("refers_to"))  # as text: a null would make all ids of its batch floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -94,7 +94,7 @@ def write(pages: DataFrame, level: int = 6) -> tuple[str, DataFrame]:
             at = 0
             for x in batches:
                 for page, url, body, digest, to in zip(x["page_id"], x["url"], x["payload"], x["digest"], x["refers_to"], strict=True):
-                    page, to = None if pd.isna(page) else int(page), None if pd.isna(to) else int(to)
+                    page, to = None if page is None else int(page), None if to is None else int(to)
                     deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
                     data = deflate.compress(_record(page, url, bytes(body), to, None, digest)) + deflate.flush()
                     out.write(data)
@@ -103,8 +103,8 @@ def write(pages: DataFrame, level: int = 6) -> tuple[str, DataFrame]:
 
         name = write_once(folder, f"part-{TaskContext.get().partitionId():06d}.warc.gz", fill)
         for i in range(0, len(notes), 20_000):
-            made = pd.DataFrame(notes[i : i + 20_000], columns=["offset", "length", "url", "digest", "page_id", "record_type", "refers_to"])
-            yield made.astype({"page_id": "Int64", "refers_to": "Int64"}).assign(archive=name)[[c.split()[0] for c in INDEX.split(", ")]]
+            made = pd.DataFrame(notes[i : i + 20_000], columns=["offset", "length", "url", "digest", "page_id", "record_type", "refers_to"], dtype=object)
+            yield made.astype({"offset": "int64", "length": "int64", "page_id": "Int64", "refers_to": "Int64"}).assign(archive=name)[[c.split()[0] for c in INDEX.split(", ")]]
 
     marked.mapInPandas(run, INDEX).write.parquet(f"{folder}/index.parquet")
     return folder, spark.read.parquet(f"{folder}/index.parquet")
@@ -149,8 +149,8 @@ def read(folder: str, selected: DataFrame) -> DataFrame:
                             if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                                 raise ValueError(f"{name} at {at}: the payload does not have its digest")
                             rows.append((number(fields["WARC-Record-ID"]), None if revisit else payload, size, digest, fields["WARC-Type"], number(fields["WARC-Refers-To"]) if revisit else None))
-                        made = pd.DataFrame(rows, columns=["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                        yield made.astype({"page_id": "Int64", "refers_to": "Int64"})
+                        made = pd.DataFrame(rows, columns=["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+                        yield made.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     return dealt.mapInPandas(run, "page_id bigint, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
@@ -158,6 +158,6 @@ def read(folder: str, selected: DataFrame) -> DataFrame:
 ORACLE = f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS top, count(*) AS n FROM p WHERE payload_bytes >= {MIN_REVISIT_BYTES} GROUP BY 1)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest)
 """
