@@ -1,7 +1,7 @@
 """Line dedup: lines of the whole corpus that are equal, or within an edit distance of two, form classes; the first line of each class stays.
 
 1. Segment-partition join. A line is cut into threshold + 1 segments of even length; two lines within the threshold share one of them. Each line goes out under its own segments (index) and under the substrings where a longer line could have a segment of a shorter one (probes, by length difference, in the windows of the multi-match-aware scheme). A task sends a line once, however often it reads it, so a line that a third of all documents have is a few rows.
-2. Places with one line only, which are nearly all, are dropped where they meet. Lines that are left get their text, and pairs are verified by banded bit-parallel edit distance, many pairs at a time. A place with many lines is split into blocks that meet two by two; lines already joined are not compared again, so a place gives a spanning star, not all pairs.
+2. Places with one line only, which are nearly all, are dropped where they meet. Lines that are left get their text, and pairs whose counts of characters could be those of near lines are verified by banded bit-parallel edit distance, many pairs at a time. A place with many lines is split into blocks that meet two by two; lines already joined are not compared again, so a place gives a spanning star, not all pairs.
 3. Components of the stars are the classes. Of each class, the first occurrence by (doc_id, line number) stays.
 
 Lines of fewer than 24 characters are never touched: headings, names, short sentences.
@@ -95,6 +95,17 @@ def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
+def bags(lines: list[str]) -> np.ndarray:
+    """How many characters of each line fall in each of 32 classes (code point modulo 32). An edit moves the sum of differences by two at most, so lines further apart than 2 * MAX_EDITS cannot be near."""
+    out = np.zeros((len(lines), 32), np.int32)
+    for i in range(0, len(lines), 5000):
+        own = lines[i : i + 5000]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(31)
+        out[i : i + len(own)] = np.bincount(np.repeat(np.arange(len(own)), sizes) * 32 + codes, minlength=32 * len(own)).reshape(-1, 32)
+    return out
+
+
 def _lines(text: str | None) -> list[str]:
     return text.split("\n") if text else []
 
@@ -176,12 +187,15 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lines = x["line"].tolist()
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         own, side, ids = x["own"].to_numpy(), x["side"].to_numpy(), x["id"].to_numpy()
+        bag = bags(lines)
         label = np.arange(len(x))
         for gap in range(1, int(left.max(initial=0)) + 1):
             i = np.flatnonzero(left >= gap)
             j = i + gap
             ok = (label[i] != label[j]) & (own[i] | own[j]) & (ids[i] != ids[j]) & (np.abs(sizes[i] - sizes[j]) <= MAX_EDITS) & ((side[i] != side[j]) | (side[i] < 0))
             i, j = i[ok], j[ok]
+            ok = np.concatenate([np.abs(bag[i[k : k + 50_000]] - bag[j[k : k + 50_000]]).sum(axis=1) <= 2 * MAX_EDITS for k in range(0, len(i) or 1, 50_000)])
+            i, j = i[ok], j[ok]
             order = np.argsort(sizes[i], kind="stable")  # pairs of like length together, so many that they fill AREA
             i, j, at = i[order], j[order], 0
             while at < len(i):
@@ -248,10 +262,11 @@ def first_places(docs: DataFrame) -> DataFrame:
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row (the columns of docs) and places (numbers of its long lines that stay; null for none) for each different row of docs."""
-    own = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(NO_ID).cast("long"))
+    own = docs.select(number(F.col(key)).alias("doc"), F.xxhash64(text).alias("fp"), F.col(text).alias("text"))
     places = first_places(own)
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    joined = rows.join(places, F.col(f"row.{key}").cast("long").eqNullSafe(F.col("doc")) & (F.xxhash64(f"row.{text}") == F.col("fp")), "left")
+    joined = rows.join(places, (number(F.col("row")[key]) == F.col("doc")) & (F.xxhash64(F.col("row")[text]) == F.col("fp")), "left")
     return joined.select("row", "places")
 
 
