@@ -105,8 +105,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def clean(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents that stay, with failing lines removed and the length column, if there is one, brought up to date; columns as they came."""
-    kept = measure(docs, text).where("q.kept")
-    new = {text: F.col("q")["clean_text"]} | ({length: F.length(F.col("q")["clean_text"]).cast("long")} if length in docs.columns else {})
+    # rows are dropped by exploding none or one: a filter would be pushed below the projections and work everything out anew, once for each line
+    passed = F.when(F.col("q")["kept"], F.array(F.struct("row", F.col("q")["clean_text"].alias("new"))))
+    kept = measure(docs, text).select(F.explode(passed).alias("k")).select("k.row", "k.new")
+    new = {text: F.col("new")} | ({length: F.length("new").cast("long")} if length in docs.columns else {})
     return kept.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
