@@ -87,7 +87,8 @@ class Model:
         self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.known: dict[str, bytes] = {}
         self.fits = lru_cache(maxsize=500_000)(self._fits)
-        self.whole = lru_cache(maxsize=50_000)(lambda t: self._merge(t) == [t])
+        #: What pieces begin with, and the ids of those that a search can use; -1 for the others.
+        self.nodes = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | {p: i if self.kind != BPE or self._merge(p) == [p] else -1 for p, i in self.ids.items()}
 
     def _merge(self, text: str) -> list[str]:
         """The pieces that merging by rank makes of a short text."""
@@ -108,35 +109,39 @@ class Model:
         return [self.unknown] if None in own else own
 
     def search(self, text: str) -> Iterator[list[str]]:
-        """The pieces of a text, in committed runs. Places are counted from the last commit."""
-        bpe, ids, scores, longest = self.kind == BPE, self.ids, self.scores, self.longest
-        best: list[float] = [0.0]
-        back: list[int | None] = [0]  # where the last piece ending here begins; None: no path ends here
-        start, at, before = 0, 0, ""
+        """The pieces of a text, in committed runs. Places are counted from the last commit; from each place that a path reaches, pieces are tried forwards while any piece begins like that."""
+        bpe, nodes, scores, longest, fits = self.kind == BPE, self.nodes, self.scores, self.longest, self.fits
         n = len(text)
-        while at < n:
-            at += 1
-            here = at - start
-            top, frm = float("-inf"), None
-            for k in range(max(0, here - longest), here):
-                if back[k] is None:
-                    continue
-                piece = text[start + k : at]
-                i = ids.get(piece)
-                if i is None and len(piece) > 1:
-                    continue
-                if bpe:
-                    last = text[start + back[k] : start + k] if k else before
-                    if (i is None or self.whole(piece)) and (not last or self.fits(last, piece)):
-                        top, frm = 0.0, k
+        room = min(n, 3 * longest) + 1
+        best: list[float] = [0.0] * room
+        back: list[int | None] = [None] * room  # where the last piece ending here begins; None: no path ends here
+        back[0] = 0
+        start, here, before = 0, 0, ""
+        while start + here < n:
+            if back[here] is not None:
+                at = start + here
+                last = text[start + back[here] : at] if here else before
+                for end in range(at + 1, min(at + longest, n) + 1):
+                    piece = text[at:end]
+                    i = nodes.get(piece)
+                    if (i is None or i < 0) and end > at + 1:
+                        if i is None:
+                            break
+                        continue
+                    j = end - start
+                    if bpe:
+                        if back[j] is None and (not last or fits(last, piece)):
+                            back[j] = here
+                    else:
+                        s = best[here] + (self.unknown_score if i is None or i < 0 else scores[i])
+                        if back[j] is None or s > best[j]:
+                            best[j], back[j] = s, here
+                    if i is None:
                         break
-                elif (s := best[k] + (self.unknown_score if i is None else scores[i])) > top:
-                    top, frm = s, k
-            best.append(top)
-            back.append(frm)
-            if here >= 2 * longest or at == n:
+            here += 1
+            if here >= 2 * longest or start + here == n:
                 # walk back from every place of the window until the paths meet
-                alive = {k for k in range(max(0, here - longest + 1), here + 1) if back[k] is not None} if at < n else {here}
+                alive = {k for k in range(max(0, here - longest + 1), here + 1) if back[k] is not None} if start + here < n else {here}
                 while len(alive) > 1:
                     k = max(alive)
                     alive.discard(k)
@@ -150,10 +155,10 @@ class Model:
                     cuts.reverse()
                     yield cuts
                     before = cuts[-1]
-                    best = [b - best[meet] for b in best[meet:]]
-                    back = [None if b is None else max(b - meet, 0) for b in back[meet:]]
+                    best = [b - best[meet] for b in best[meet:]] + [0.0] * meet
+                    back = [None if b is None else max(b - meet, 0) for b in back[meet:]] + [None] * meet
                     back[0] = 0
-                    start += meet
+                    start, here = start + meet, here - meet
 
     def _ids_of(self, word: str) -> bytes:
         out: list[int] = []

@@ -115,6 +115,7 @@ def test_unigram_search_is_optimal():
     """The same vocabulary as a unigram model: path scores equal those of a search over the whole text."""
     model = pieces.Model(open(_piece_path(), "rb").read())
     model.kind = pieces.UNIGRAM
+    model.nodes |= model.ids
     rnd = random.Random(4)
     for _ in range(60):
         text = "▁" + "".join(rnd.choice("etaoin shrdlu") for _ in range(rnd.randint(1, 150))).replace(" ", "▁")
