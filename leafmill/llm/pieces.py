@@ -28,7 +28,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Words kept with their ids in a Python worker.
-CACHE = 300_000
+CACHE = 1_200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
