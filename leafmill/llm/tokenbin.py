@@ -11,6 +11,7 @@ Documents go to files by ascending doc_id (null first; rows with one id by text)
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -336,18 +337,21 @@ def read_file(data, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         rest = rest[n:]
 
 
+#: Python's white space that the tokenizer's is not, and the rest of Python's.
+_MARKS = re.compile("[\x1c-\x1f]")
+_SPACES = re.compile(r"[^\S\x1c-\x1f]+")
 _words: dict[str, dict[str, bytes]] = {}
 _models: dict[str, object] = {}
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The ids of each text, without special ones. What stands between ASCII white space is encoded once and kept: neither the normaliser nor the splitter of this kind of vocabulary looks across white space."""
+    """The ids of each text, without special ones. What stands between white space (the tokenizer's: Python's without U+001C to U+001F) is encoded once and kept: neither the normaliser nor the splitter of this kind of vocabulary looks across white space."""
     from tokenizers import Tokenizer
 
     if path not in _models:
         _models[path], _words[path] = Tokenizer.from_file(path), {}
     model, known = _models[path], _words[path]
-    parts = [t.split() for t in texts]
+    parts = [[w for w in _SPACES.split(t) if w] if _MARKS.search(t) else t.split() for t in texts]
     new = list({w for p in parts for w in p if w not in known})
     if len(known) + len(new) > CACHE:
         known.clear()

@@ -80,6 +80,20 @@ def test_word_store_equals_whole_texts():
     assert [a.tolist() for a in tokenbin.encode_texts(path, texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_word_store_parts_words_as_the_tokenizer_does():
+    """U+001C to U+001F are white space to Python but not to the tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    rnd = random.Random(6)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["one\x1ctwo !\x1c! x", "\x1c", " \x1f \x1d\x1e"] + [f"a{c}b !{c}! {c}{c} x{c}" for c in spaces]
+    texts += ["".join(rnd.choice(["a", "B1", "é'", "!", *spaces]) for _ in range(rnd.randint(0, 60))) for _ in range(300)]
+    assert [a.tolist() for a in tokenbin.encode_texts(path, texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def _piece_path():
     import public_tokenizers
 
