@@ -286,15 +286,5 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return made.join(of, "fp")
 
 
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those of which a near-duplicate with a smaller id stays: of each component the row with the smallest id (of several such rows, one)."""
-    least = classes(docs, key, text).groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("unknown"), "doc", "fp")).alias("r"))
-    found = least.select("r.doc", "r.fp")
-    own = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), fingerprint(F.col(text)).alias("own_fp"))
-    kept = own.join(found, F.col("row")[key].eqNullSafe(F.col("doc")) & (F.col("own_fp") == F.col("fp")), "left_semi")
-    one = kept.withColumn("id", F.col("row")[key]).dropDuplicates(["id", "own_fp"])
-    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-
-
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return classes(docs, key, text).select(F.col("doc").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
