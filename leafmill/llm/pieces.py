@@ -7,9 +7,9 @@ What "best" means follows the model's type:
 * unigram: the sum of piece scores, as in the library's own search.
 * BPE: a path is alive only while each two neighbouring pieces are what merging their joint text by rank gives. Such a path is the merge result for the whole text, and of each prefix exactly one is alive, so the search returns the merge result without ever holding the whole text.
 
-Characters in no piece become byte pieces, or the unknown piece where the model has none. White space before a word is part of the word's piece, and no piece holds it further inside (this is checked on loading); so words are searched one by one and each result is kept for the next time, in a store of bounded size.
+Characters in no piece become byte pieces, or the unknown piece where the model has none. White space before a word is part of the word's piece, and no piece holds it further inside (this is checked on loading); so words are searched one by one. Words no longer than a few windows take one run of an automaton over all pieces, which tells at each place the pieces that end there; longer ones are searched in windows. Results are kept for the next time, in a store of bounded size that is emptied at the end of each partition.
 
-Null text counts as empty and has no ids.
+Null text counts as empty and has no ids; so does empty text. Rows are coded one by one: repeated rows and rows with one id each have a result. A search has no ties: of equal unigram scores the first path found stays, and of BPE paths one is alive. An empty table gives no rows. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,35 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Words kept with their ids in a Python worker.
-CACHE = 1_200_000
+#: Words of up to KEPT_CHARS characters kept with their ids in a Python worker, in two generations of half as many: some 250 bytes each, so 30 MB at most.
+CACHE, KEPT_CHARS = 120_000, 48
+#: Pairs of pieces whose check is kept: some 110 bytes each, so 33 MB at most.
+PAIRS = 300_000
+#: Stands before the first piece, as the upper half of a pair.
+_START = 1 << 48
+
+
+class _Known(dict):
+    """What make(word) gave, in two generations; a full one takes the place of the older."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.older.get(word)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = made
+        return made
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,10 +113,23 @@ class Model:
             raise ValueError("a piece holds white space inside")
         self.plain_newline = not any("\n" in p for p in self.ids)
         self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.known: dict[str, bytes] = {}
-        self.fits = lru_cache(maxsize=500_000)(self._fits)
+        self.sizes = [len(p) for p in self.pieces]
+        self.known = _Known(self._ids_of)
+        self.pairs: dict[int, bool] = {}
         #: What pieces begin with, and the ids of those that a search can use; -1 for the others.
         self.nodes = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | {p: i if self.kind != BPE or self._merge(p) == [p] else -1 for p, i in self.ids.items()}
+        self.ending = self._automaton() if self.kind == BPE else None
+
+    def _automaton(self):
+        """Of a text: where pieces that a search can use end, with their lengths and ids (plain and as the upper half of a pair), the longer ones of a place first."""
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for p, i in self.nodes.items():
+            if i >= 0:
+                made.add_word(p, (len(p), i, i << 24))
+        made.make_automaton()
+        return made.iter
 
     def _merge(self, text: str) -> list[str]:
         """The pieces that merging by rank makes of a short text."""
@@ -101,9 +142,34 @@ class Model:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
+    def fits(self, a: str, b: str) -> bool:
         return self._merge(a + b) == [a, b]
 
+    def _fit(self, pair: int) -> bool:
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[pair] = made = pair >= _START or self.fits(self.pieces[pair >> 24], self.pieces[pair & 0xFFFFFF])
+        return made
+
+    def _in_one_window(self, word: str) -> list[int] | None:
+        """The ids of a word by BPE: of each place the last piece of the one path that is alive there. None where a character is in no piece."""
+        last: list[int | None] = [None] * len(word)  # shifted, as the upper half of a pair
+        last.append(_START)  # before the first place
+        known, fit = self.pairs.get, self._fit
+        for at, (size, i, shifted) in self.ending(word):
+            if last[at] is None and (before := last[at - size]) is not None:
+                ok = known(before | i)
+                if ok or (ok is None and fit(before | i)):
+                    last[at] = shifted
+        at, out, sizes = len(word) - 1, [], self.sizes
+        while at >= 0:
+            if (i := last[at]) is None:
+                return None
+            out.append(i >> 24)
+            at -= sizes[i >> 24]
+        out.reverse()
+        return out
+
     def _bytes_of(self, char: str) -> list[int]:
         own = [self.bytes.get(b) for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown] if None in own else own
@@ -161,6 +227,8 @@ class Model:
                     start, here = start + meet, here - meet
 
     def _ids_of(self, word: str) -> bytes:
+        if self.ending and len(word) <= 3 * self.longest and (found := self._in_one_window(word)) is not None:
+            return array("I", found).tobytes()
         out: list[int] = []
         for run in self.search(word):
             for p in run:
@@ -173,17 +241,8 @@ class Model:
         if not text:
             return np.zeros(0, "<u4")
         spaced = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        known = self.known
         words = _WORD.findall(spaced) if self.plain_newline else _SPACED.findall(spaced)
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._ids_of(w)
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -212,10 +271,13 @@ def _of_texts(docs: DataFrame, model: str, key: str, text: str, columns: str, ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
-        for b in batches:
-            for i in range(0, b.num_rows, ROWS):
-                part = b.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), *make(own, part.column(1).to_pylist())], names=["key", *names])
+        try:
+            for b in batches:
+                for i in range(0, b.num_rows, ROWS):
+                    part = b.slice(i, ROWS)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *make(own, part.column(1).to_pylist())], names=["key", *names])
+        finally:  # workers outlive their tasks
+            own.known.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
