@@ -1,30 +1,29 @@
 """Benchmark decontamination: a prefix-filtered set join between document shingles and benchmark windows.
 
-A window is 8 consecutive words of an item (an item with fewer words is one window). Its shingles are its runs of three words (of all its words, where it has fewer). The windows are sets of shingles that have to be contained whole in a document window of the same size, so by the prefix principle it is enough to look up one shingle of each: the rarest. What comes out is bounded by position and length and verified word by word.
+A window is 8 consecutive words of an item (an item with fewer words is one window). Its shingles are its runs of three words (of all its words, where it has fewer). The windows are sets of shingles that have to be contained whole in a document window of the same size, so by the prefix principle, with shingles in the order of their rarity, a prefix of one is enough: the rarest.
 
-1. One pass over the documents, in stretches of words: shingle hashes are looked up in the broadcast set of all benchmark shingles; the few that match go to the shared folder with the words around them.
-2. Rarity: those matches are counted over the whole corpus. A window with a shingle that never occurs is out at once.
-3. The rarest shingle of each window joins the matches; position and length bounds, then the exact comparison.
+1. Rarity: one pass over the documents, in stretches of words, counts the benchmark's shingles in the whole corpus. Only numbers leave a task, added up before they are shuffled. A window with a shingle that never occurs is out at once.
+2. A second pass looks up the rarest shingle of each window alone. What matches goes to the shared folder with the words around it, so a shingle of a frequent phrase brings rows only where all of its window's shingles are as frequent.
+3. Position and length bounds, then the exact comparison word by word.
 
-Only built-in column functions run. The broadcast set is sized first: beyond `block` shingles it is looked up in blocks, each over all documents.
+Only built-in column functions run. The set that is looked up is counted: up to BLOCK shingles are broadcast; beyond, shingles are shuffled once, those of the benchmark under SALTS numbers, so that a frequent one is several smaller keys.
 
-Null text has no words. Rows with the same doc_id are judged one by one. Items without words match nothing; repeated item_ids count once, null ones not at all. Empty tables give no hits or no rows.
+Null text has no words; empty texts have none either, and long ones are cut into stretches, so that rows stay small. Rows with the same doc_id are judged one by one, and equal rows have equal results; of ties in rarity the smaller hash is taken, which changes no result. Items without words match nothing; repeated item_ids count once, null ones not at all. Empty tables give no hits or no rows. Other columns are not read by `report` and pass through `clean`, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, doc_words, runs_of, stretches
+from leafmill.llm.common import SALTS, cut, doc_words, runs_of, stretches
 
 WINDOW = 8
 SHINGLE = 3
 MIN_ITEMS = 2
-#: Shingles looked up in one pass: 24 bytes each, so 24 MB are broadcast at most.
+#: Shingles that are broadcast at most: 24 bytes each, so 24 MB.
 BLOCK = 1_000_000
 
 
@@ -47,13 +46,36 @@ def _window_shingles(windows: DataFrame) -> DataFrame:
     return w.select("win", "len", F.least("len", F.lit(SHINGLE)).alias("k"), F.posexplode(of).alias("o", "h"))
 
 
-def _matches(docs: DataFrame, looked_up: DataFrame, k: int, every: bool) -> DataFrame:
-    """Places of documents whose k-word shingle is looked up, with the words around; if every, also a row with n_words for each document, at null."""
+def _look_up(made: DataFrame, looked_up: DataFrame, block: int) -> DataFrame:
+    """The rows of made whose h is among the column h of looked_up (null is equal to null)."""
+    own = looked_up.select(F.col("h").alias("h2"))
+    if own.count() <= block:
+        return made.join(F.broadcast(own), F.col("h").eqNullSafe(F.col("h2")))
+    own = own.withColumn("salt2", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    made = made.withColumn("salt", F.pmod(F.xxhash64("doc", "fp"), F.lit(SALTS)).cast("int"))
+    return made.join(own, F.col("h").eqNullSafe(F.col("h2")) & (F.col("salt") == F.col("salt2"))).drop("salt", "salt2")
+
+
+def _counted(spoken: DataFrame, shingles: DataFrame, sizes: list[int], block: int) -> DataFrame:
+    """k, h, n: how often each shingle of the benchmark that occurs does so. An occurrence in several documents, or several times in one, counts each time."""
+    parts = []
+    for k in sizes:
+        own = cut(shingles.where(F.col("k") == k).select("h").distinct())
+        made = spoken.select("doc", "fp", F.explode(runs_of(F.col("s"), k)).alias("h"))
+        parts.append(_look_up(made, own, block).groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("k"), "h", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _matches(spoken: DataFrame, prefix: DataFrame, k: int, every: bool, block: int) -> DataFrame:
+    """Places of documents where the k-word shingle of a window's prefix stands, with the words around; if every, also a row with n_words for each document, at null."""
     around = WINDOW - 1
-    made = docs.select("doc", "fp", "n_words", "s", runs_of(F.col("s"), k).alias("hs"))
+    looked_up = prefix.where(F.col("k") == k).select("h").distinct()
+    if every:
+        looked_up = looked_up.unionByName(prefix.sparkSession.createDataFrame([(None,)], "h bigint"))
+    made = spoken.select("doc", "fp", "n_words", "s", runs_of(F.col("s"), k).alias("hs"))
     hashes = F.when(F.col("s.first") == 0, F.concat("hs", F.array(F.lit(None).cast("bigint")))).otherwise(F.col("hs")) if every else F.col("hs")
     made = made.select("doc", "fp", "n_words", "s", F.posexplode(hashes).alias("i", "h"))
-    found = made.join(F.broadcast(looked_up.select(F.col("h").alias("h2"))), F.col("h").eqNullSafe(F.col("h2")))
+    found = _look_up(made, cut(looked_up), block)
     at = F.when(F.col("h").isNotNull(), F.col("s.first") + F.col("i"))
     first = F.greatest(at - around, F.lit(0))
     return found.select("doc", "fp", F.lit(k).alias("k"), "h", at.alias("at"), first.alias("first"), F.when(at.isNotNull(), F.slice("s.w", first - F.col("s.base") + 1, F.lit(2 * around + SHINGLE))).alias("ctx"), "n_words")
@@ -62,30 +84,21 @@ def _matches(docs: DataFrame, looked_up: DataFrame, k: int, every: bool) -> Data
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(documents: doc, fp, n_words; hits: doc, fp, item, win, start, len). fp tells rows with the same id apart."""
     windows = cut(benchmark_windows(items))
-    shingles = _window_shingles(windows)
-    sizes = {r["k"]: r["n"] for r in shingles.groupBy("k").agg(F.count_distinct("h").alias("n")).collect()}
-    sizes = {SHINGLE: 0} | sizes
+    shingles = cut(_window_shingles(windows))
+    sizes = sorted(r["k"] for r in shingles.select("k").distinct().collect())  # 1 to 3
     spoken = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("fp"), doc_words(F.col(text)).alias("w"))
     spoken = spoken.select("doc", "fp", F.size("w").alias("n_words"), F.explode(stretches(F.col("w"), WINDOW - 1, WINDOW + SHINGLE - 1)).alias("s"))
-    none = docs.sparkSession.createDataFrame([(None,)], "h bigint")
-    passes = []
-    for k, n in sorted(sizes.items()):
-        blocks = max(1, math.ceil(n / block))
-        own = shingles.where(F.col("k") == k).select("h").distinct()
-        for b in range(blocks):
-            every = k == SHINGLE and b == 0
-            if n == 0 and not every:
-                continue
-            part = own if blocks == 1 else own.where(F.pmod("h", F.lit(blocks)) == b)
-            passes.append(_matches(spoken, part.unionByName(none) if every else part, k, every))
-    matches = cut(reduce(DataFrame.unionByName, passes))
-    places = matches.where(F.col("at").isNotNull())
-    rarity = places.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n"))
+    rarity = cut(_counted(spoken, shingles, sizes or [SHINGLE], block))
     counted = shingles.join(rarity, ["k", "h"], "left")
-    rarest = counted.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "o", "k")).alias("p")).where("p.n > 0")
-    prefix = rarest.select("win", "len", F.col("p.k").alias("k"), F.col("p.h").alias("h"), F.col("p.o").alias("o"))
+    rarest = counted.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "h", "o", "k")).alias("p")).where("p.n > 0")
+    prefix = cut(rarest.select("win", "len", F.col("p.k").alias("k"), F.col("p.h").alias("h"), F.col("p.o").alias("o")))
+    used = [k for k in sizes if k == SHINGLE or not prefix.where(F.col("k") == k).isEmpty()]
+    matches = cut(reduce(DataFrame.unionByName, [_matches(spoken, prefix, k, k == SHINGLE, block) for k in sorted({*used, SHINGLE})]))
+    places = matches.where(F.col("at").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("doc", "fp", "at"), F.lit(SALTS)).cast("int"))
     start = F.col("at") - F.col("o")
-    candidates = places.join(F.broadcast(prefix) if sum(sizes.values()) <= block else prefix, ["k", "h"]).where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    small = prefix.count() <= block
+    met = places.join(F.broadcast(prefix), ["k", "h"]) if small else places.join(prefix.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))), ["k", "h", "salt"])
+    candidates = met.where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
     verified = candidates.where(F.array_join(F.slice("ctx", start - F.col("first") + 1, F.col("len")), " ") == F.col("win"))
     hits = verified.select("doc", "fp", "win", start.alias("start"), "len").distinct()
     return matches.where(F.col("at").isNull()).select("doc", "fp", "n_words"), hits.join(windows.select("item", "win"), "win")
