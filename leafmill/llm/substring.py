@@ -2,9 +2,11 @@
 
 1. Each document is cut into non-overlapping blocks of ten words (the reference blocks), and every rolling window of ten words probes them. A repeated passage of 20 words holds a whole block of the earlier place, wherever it starts in the later. Hashes travel packed, sorted and parted by their upper bits: about seven bytes a probe. A batch sends a hash once, with all its places, so that a passage in a third of all documents stays a few entries.
 2. Places where a block and a probe of another place meet are the hits. Only windows of 20 words that hold a hit are candidates; hits extend over all of them.
-3. Candidates are matched exactly, by two 64-bit hashes of their 20 words: of each sequence the first place, by document and start, stays, and every later one covers its words. Neighbouring windows together are the maximal repeats.
+3. Candidates are matched by a hash of 128 bits of their 20 words: two of 64 bits, each over hashes of the words of its own. Of each sequence the first place, by document and start, stays, and every later one covers its words. Neighbouring windows together are the maximal repeats: instead of extending each pair of a block and a probe word by word, which for a passage in a third of all documents would be all pairs of them, all windows around all hits are matched at once.
 
-Null text has no words; documents come in the order of their ids, null first, then of their texts' hashes. Equal rows (id and text) count as one document. An empty table gives no rows.
+A part is a range of hashes. How many there are follows from the length of all texts, so that a part stays the same size however much is read; a task holds one part.
+
+Null text has no words, like an empty one; long texts are batches of their own. Documents come in the order of their ids, null first, then of their texts' hashes, so there are no ties. Equal rows (id and text) count as one document. An empty table gives no rows. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ ANCHOR = WINDOW // 2
 BATCH = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Hashes travel with 48 bits: enough for hits, which are only a first choice; sequences are told apart by 32 more.
+#: Hashes of blocks and probes travel with 48 bits: enough for hits, which are only a first choice.
 _TRIM = np.uint64(16)
+#: Bytes of text whose hashes a part holds, about.
+PART = 24_000_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -42,6 +46,14 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((of(w) for w in words), np.uint64, len(words))
 
 
+def _both_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    import xxhash
+
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def rolling(h: np.ndarray, n: int, prime: np.uint64 = _PRIME) -> np.ndarray:
     """A hash of each n consecutive hashes, of the first at 0 and so on; mixed, so that its upper bits are even."""
     if len(h) < n:
@@ -84,7 +96,7 @@ class _Batch:
         self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.h = _hashes([w for x in words for w in x])
+        self.h, self.other = _both_hashes([w for x in words for w in x])
         self.rows = rows
 
     def places(self, n: int) -> np.ndarray:
@@ -131,7 +143,7 @@ def _candidates(b: _Batch) -> tuple[np.ndarray, ...]:
         np.add.at(near, start + np.minimum(at + 1, size), -1)
     at = b.places(WINDOW)
     at = at[np.cumsum(near)[at] > 0]
-    return rolling(b.h, WINDOW)[at] >> _TRIM, (rolling(b.h, WINDOW, _OTHER)[at] >> np.uint64(32)).astype(np.uint32), at, np.zeros(len(at), bool)
+    return rolling(b.h, WINDOW)[at], rolling(b.other, WINDOW, _OTHER)[at], at, np.zeros(len(at), bool)
 
 
 def _send(parts: int, entries):
@@ -155,7 +167,8 @@ def _send(parts: int, entries):
             ends = np.r_[first[1:], len(h)]
             blocks = np.maximum.reduceat(block, first).astype(np.uint8)
             doc = b.doc_of(at[first])
-            bounds = np.searchsorted((h[first] >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))  # parts are ranges of hashes
+            upper = h[first] >> np.uint64(16 if h2 is None else 32)
+            bounds = np.searchsorted(upper * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))  # parts are ranges of hashes
             rows = [(int(number % parts), number, -1, None, None, None, pack(b.starts), None, pack(b.docs), pack(b.fps))]
             for p in range(parts):
                 own = slice(bounds[p], bounds[p + 1])
@@ -191,7 +204,7 @@ def _later(rows: list) -> Iterator[tuple[int, np.ndarray]]:
     """Of the entries of one part: the places of each sequence but the first of all."""
     h = np.concatenate([np.cumsum(unpack(r.h, np.uint64)) for r in rows])
     many = np.concatenate([unpack(r.many, np.uint32) for r in rows]).astype(np.int64)
-    h2, start = np.concatenate([unpack(r.h2, np.uint32) for r in rows]), np.concatenate([unpack(r.block, np.uint32) for r in rows])
+    h2, start = np.concatenate([unpack(r.h2, np.uint64) for r in rows]), np.concatenate([unpack(r.block, np.uint32) for r in rows])
     doc, fp = np.concatenate([unpack(r.doc, np.int64) for r in rows]), np.concatenate([unpack(r.fp, np.int64) for r in rows])
     order = np.lexsort((start, fp, doc, h2, h))
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
@@ -248,21 +261,27 @@ def _by_document(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(docs[doc[i]], fps[doc[i]], pack((at[i:j] - starts[doc[i]]).astype(np.uint32))) for i, j in zip(edge[:-1], edge[1:], strict=True)], columns=names)
 
 
-def _exchange(docs: DataFrame, entries, judge) -> DataFrame:
+def _parts(docs: DataFrame) -> int:
+    """As many parts as the length of all texts asks for, and at least as many as there are partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // PART))
+
+
+def _exchange(docs: DataFrame, entries, judge, parts: int) -> DataFrame:
     """doc, fp, places: what judge picks of the entries of all documents."""
-    parts = partitions(docs.sparkSession)
     sent = docs.mapInPandas(_send(parts, entries), PACKED)
-    picked = sent.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_receive(judge), "batch bigint, at binary, docs binary, fps binary, starts binary")
+    picked = sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInPandas(_receive(judge), "batch bigint, at binary, docs binary, fps binary, starts binary")
     return cut(picked.groupBy("batch").applyInPandas(_by_document, "doc bigint, fp bigint, places binary"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, fp, places: starts of the windows whose words start earlier too. docs: doc (no null), fp, text."""
-    hits = _exchange(docs, _anchors, _hits)
+    parts = _parts(docs)
+    hits = _exchange(docs, _anchors, _hits, parts)
     free(docs.sparkSession)
     hit = hits.select(F.col("doc").alias("d2"), F.col("fp").alias("f2"), F.col("places").alias("hits")).dropDuplicates(["d2", "f2"])
     held = docs.join(hit, (F.col("doc") == F.col("d2")) & (F.col("fp") == F.col("f2"))).select("doc", "fp", "text", "hits")
-    made = _exchange(held, _candidates, _later).dropDuplicates(["doc", "fp"])
+    made = _exchange(held, _candidates, _later, parts).dropDuplicates(["doc", "fp"])
     del held
     free(docs.sparkSession)
     return made
