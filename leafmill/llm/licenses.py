@@ -1,42 +1,58 @@
 """License scans by diagonal voting.
 
-1. One pass over the documents: the hashes of all rolling three-word grams meet the grams of the templates, a broadcast table of constants. A match votes for the diagonal (place in document minus place in template) it stands on.
-2. Votes are added up by document, template and diagonal with a map-side combine; diagonals up to two apart merge (a word more or less in the copy), so a group is one place where the template stands.
-3. Each group is verified word by word: only grams whose words are equal count, and the label holds if they cover enough of the template.
+Templates are whole license texts (the folder templates) and the notices that stand for them. Grams that stand in templates of more than one label tell nothing and are left out, so that what GPL and LGPL share speaks for neither.
+
+1. One pass over the documents: the hashes of all rolling five-word grams meet the grams of the templates, a broadcast table of constants. A match votes for the diagonal (place in document minus place in template) it stands on.
+2. Votes are added up by document, template and diagonal with a map-side combine; diagonals up to two apart merge (a word more or less in the copy), within a drift of DRIFT words, so a group is one place where part of the template stands.
+3. Each group is verified word by word: only grams whose words are equal count, and the label holds if they cover enough of the words that a template has to itself: of a few a share, of many as much as of SPAN words, wherever in the template they stand.
 
 Beside that, base phrases are looked for in each document as they are; their labels always stay.
 
-Null text has no words and no labels. Rows with one doc_id are judged one by one. Empty tables give no rows.
+Null text has no words and no labels, like an empty one; long texts are cut into stretches, so that rows stay small. Rows with one doc_id are judged one by one, equal rows have equal results, and ties cannot be, as all labels that hold are told. Empty tables give no rows. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from leafmill.llm.common import cut, doc_words, let, runs_of, stretches
+from leafmill.llm.common import NOT_WORD, cut, doc_words, let, runs_of, stretches
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening words of public license texts and notices.
-TEMPLATES = {
+#: Short notices that stand for a license. The name's first word is the label.
+NOTICES = {
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "apache-2.0": "licensed under the apache license version 2 0",
     "apache-2.0 notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0",
+    "gpl notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "lgpl notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit notice": "released under the mit license",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mpl-2.0 notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
-GRAM = 3
-#: Diagonals this close belong together.
-SHIFT = 2
-#: Share of a template's words that a group has to cover, and least number of them.
-COVER, LEAST = 0.6, 5
+GRAM = 5
+#: Diagonals this close belong together, up to so many from the first of a group.
+SHIFT, DRIFT = 2, 16
+#: Share of the words a template has to itself, or of SPAN words if they are more, that a group has to cover, and least number of them.
+COVER, SPAN, LEAST = 0.6, 40, 5
+
+
+def _read() -> dict[str, str]:
+    """The templates by name, in words as documents have them."""
+    found = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "templates").glob("*.txt"))}
+    name = lambda x: re.sub(r"^(l?gpl)-", r"\1 ", x)  # noqa: E731 versions of one license share its label
+    texts = {name(k): " ".join(w for w in re.split(NOT_WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w) for k, t in found.items()}
+    return texts | NOTICES
+
+
+TEMPLATES = _read()
 
 
 def label_of(template: str) -> str:
@@ -44,8 +60,16 @@ def label_of(template: str) -> str:
 
 
 def template_grams() -> list[tuple[str, int, int, str]]:
-    """template, its words, place, gram."""
-    return [(name, len(w), i, " ".join(w[i : i + GRAM])) for name, text in TEMPLATES.items() for w in [text.split()] for i in range(len(w) - GRAM + 1)]
+    """template, how many of its words such grams cover, place, gram: of those grams that stand in templates of one label only."""
+    every = [(name, i, " ".join(w[i : i + GRAM])) for name, text in TEMPLATES.items() for w in [text.split()] for i in range(len(w) - GRAM + 1)]
+    labels: dict[str, set[str]] = {}
+    for name, _, gram in every:
+        labels.setdefault(gram, set()).add(label_of(name))
+    own = [x for x in every if len(labels[x[2]]) == 1]
+    covered: dict[str, set[int]] = {}
+    for name, i, _ in own:
+        covered.setdefault(name, set()).update(range(i, i + GRAM))
+    return [(name, len(covered[name]), i, gram) for name, i, gram in own]
 
 
 def phrase_places(words: Column) -> Column:
@@ -86,15 +110,17 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Data
     votes = found.where("at IS NOT NULL").withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*by, "diagonal").agg(F.collect_set("place").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"))
     along = Window.partitionBy(*by).orderBy("diagonal")
     merged = votes.withColumn("starts", (F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT).cast("int")).withColumn("g", F.sum(F.coalesce("starts", F.lit(0))).over(along))
-    groups = merged.groupBy(*by, "g").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"))
+    merged = merged.withColumn("part", F.floor((F.col("diagonal") - F.min("diagonal").over(Window.partitionBy(*by, "g"))) / DRIFT))
+    groups = merged.groupBy(*by, "g", "part").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + GRAM - 1)))))
-    spans = groups.withColumn("n", covered).where((F.col("n") >= LEAST) & (F.col("n") >= F.col("len") * F.lit(COVER)))
-    spans = spans.select("doc", "fp", "template", F.substring_index("template", " ", 1).alias("label"), "first", "last", (F.col("n") / F.col("len")).alias("cover"))
+    need = F.least(F.col("len"), F.lit(SPAN))
+    spans = groups.withColumn("n", covered).where((F.col("n") >= LEAST) & (F.col("n") >= need * F.lit(COVER)))
+    spans = spans.select("doc", "fp", "template", F.substring_index("template", " ", 1).alias("label"), "first", "last", F.least(F.col("n") / need, F.lit(1.0)).alias("cover"))
     return found.where("at IS NULL").select("doc", "fp", "n_words", "base"), spans
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs. score: the largest share of a template covered; 1 where a base phrase stands."""
+    """One row for each row of docs. score: the largest share of a template (of SPAN words of a longer one) that is covered; 1 where a base phrase stands."""
     every, spans = find(docs, key, text)
     by = spans.groupBy(F.col("doc").alias("d2"), F.col("fp").alias("f2")).agg(F.collect_set("label").alias("own"), F.max("cover").alias("cover"))
     rows = every.join(by, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("fp") == F.col("f2")), "left")
@@ -111,15 +137,21 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-g(template, len, place, gram) AS (VALUES {", ".join(f"('{t}', {n}, {p}, '{g}')" for t, n, p, g in template_grams())}),
+tpl(template, text) AS (VALUES {", ".join(f"('{t}', '{x}')" for t, x in TEMPLATES.items())}),
+tw AS (SELECT template, string_split(template, ' ')[1] AS label, string_split(text, ' ') AS w FROM tpl),
+tg AS (SELECT template, label, i - 1 AS place, array_to_string(w[i:i + {GRAM - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - {GRAM - 2})) AS i FROM tw)),
+og AS (SELECT template, place, gram FROM tg WHERE gram IN (SELECT gram FROM tg GROUP BY gram HAVING count(DISTINCT label) = 1)),
+cov AS (SELECT template, count(DISTINCT place + k) AS len FROM og, range({GRAM}) r(k) GROUP BY template),
+g AS (SELECT template, len, place, gram FROM og JOIN cov USING (template)),
 ph(phrase, label, n) AS (VALUES {", ".join(f"('{p}', '{x}', {len(p.split())})" for p, x in PHRASES.items())}),
 pl AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 base AS (SELECT doc_id, count(*) AS n_base, min(i - 1) AS first_word, max(i - 1) AS last_word, list(DISTINCT label) AS labels FROM pl JOIN ph ON w[i:i + n - 1] = string_split(phrase, ' ') GROUP BY doc_id),
 votes AS (SELECT DISTINCT doc_id, template, len, place, i - 1 - place AS diagonal FROM (SELECT doc_id, i, array_to_string(w[i:i + {GRAM - 1}], ' ') AS gram FROM pl) JOIN g USING (gram)),
 steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place) > {SHIFT} THEN 1 ELSE 0 END AS s FROM votes),
 grp AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place) AS g FROM steps),
-spans AS (SELECT doc_id, template, any_value(len) AS len, count(DISTINCT place + k) AS n FROM grp, range({GRAM}) r(k) GROUP BY doc_id, template, g HAVING count(DISTINCT place + k) >= {LEAST} AND count(DISTINCT place + k) >= any_value(len) * {COVER}),
-own AS (SELECT doc_id, list(DISTINCT string_split(template, ' ')[1]) AS labels, max(n / len) AS cover FROM spans GROUP BY doc_id)
+part AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY doc_id, template, g)) // {DRIFT} AS p FROM grp),
+spans AS (SELECT doc_id, template, least(any_value(len), {SPAN}) AS need, count(DISTINCT place + k) AS n FROM part, range({GRAM}) r(k) GROUP BY doc_id, template, g, p HAVING count(DISTINCT place + k) >= {LEAST} AND count(DISTINCT place + k) >= least(any_value(len), {SPAN}) * {COVER}),
+own AS (SELECT doc_id, list(DISTINCT string_split(template, ' ')[1]) AS labels, max(least(n / need, 1.0)) AS cover FROM spans GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,

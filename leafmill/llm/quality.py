@@ -1,7 +1,11 @@
 """Quality rules, line first: each line passes punctuation, navigation and boilerplate rules or is removed; a document that loses too much text, or fails a rule on the whole, is rejected.
 
+* Punctuation: too many symbols; shouting; a line that breaks off in an ellipsis, as teasers do. Lines without any mark at the end pass: headings, verse and many transcripts have none.
+* Navigation: separators of menus and breadcrumbs; or a menu word first, and half of all words from menus.
+* Boilerplate: a phrase of it, in four languages, for every BOILERPLATE_WORDS words of the line or fewer. The rule is a density, so that a long line fails as a short one does, and a paragraph that mentions a privacy policy once passes.
+
 All of it is column expressions on one row: no shuffle, no Python, memory in proportion to the longest document.
-Null text counts as empty. An empty document has zero counts and is rejected (fewer than 10 words). Repeated rows give repeated results. Other columns of the input are neither read nor returned unless `clean` is asked for.
+Null text counts as empty. An empty document has zero counts and is rejected (fewer than 10 words). Repeated rows, and rows with one id, give a result each; there are no ties. An empty table gives no rows. Other columns of the input are neither read nor returned unless `clean` is asked for, which passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,26 @@ MAX_SYMBOL_PERCENT = 15
 SHOUT_WORDS = 4
 #: Separators of menus and breadcrumbs; a line with three or more, and one for every three words, is navigation.
 SEPARATORS = "|»›•·→"
+#: How a line ends that breaks off.
+ELLIPSIS = r"([.][.][.]|…)[\])\x20\x09-\x0D]*$"
 BOILERPLATE = (
-    "cookie policy|accept all cookies|privacy policy|terms of (use|service)|enable javascript|javascript is (disabled|required)"
-    "|click here to|subscribe to our newsletter|sign up for our|follow us on|share this (page|article|post)|all rights reserved|lorem ipsum"
+    "cookie policy|accept all cookies|privacy policy|terms of (?:use|service)|enable javascript|javascript is (?:disabled|required)"
+    "|click here to|subscribe to our newsletter|sign up for our|follow us on|share this (?:page|article|post)|all rights reserved|lorem ipsum"
+    "|politique de confidentialité|accepter les cookies|mentions légales|conditions d.utilisation|tous droits réservés|abonnez-vous à|suivez-nous sur|cliquez ici pour|partager cet article"
+    "|política de privacidad|aceptar (?:todas )?las cookies|aviso legal|términos de (?:uso|servicio)|todos los derechos reservados|suscríbete a|síguenos en|haz clic aquí|compartir este artículo"
+    "|datenschutzerklärung|alle cookies akzeptieren|nutzungsbedingungen|alle rechte vorbehalten|newsletter abonnieren|folgen sie uns|hier klicken|artikel teilen"
 )
-#: Lines of more words, or of words this long on average, may mention such a phrase in prose.
-BOILERPLATE_WORDS, BOILERPLATE_WORD_CHARS = 25, 20
+#: A line with a phrase of boilerplate for so many words or fewer fails.
+BOILERPLATE_WORDS = 25
+#: Words of menus; a line that begins with one fails if three or more, and half of its words, are among them.
+MENU = (
+    "home", "menu", "search", "login", "logout", "register", "sitemap", "archive", "contact", "about", "help", "faq", "next", "previous", "categories", "tags",
+    "accueil", "rechercher", "connexion", "inscription", "suivant", "précédent", "aide", "inicio", "buscar", "acceder", "registrarse", "contacto", "ayuda", "siguiente", "anterior",
+    "startseite", "suche", "anmelden", "registrieren", "kontakt", "hilfe", "weiter", "zurück", "impressum", "übersicht",
+)
+MENU_LEAST = 3
+_LETTERS = "a-zß-öø-ÿ"
+_MENU_FIRST = f"^[^{_LETTERS}]*(?:{'|'.join(MENU)})(?:[^{_LETTERS}]|$)"
 
 
 def _word_chars(text: Column) -> Column:
@@ -50,9 +68,15 @@ def line_fails(line: Column) -> Column:
         separators = _count_of(x, SEPARATORS)
         return symbols | shouting | ((separators >= 3) & (separators * 4 >= words))
 
-    # prose has none of these marks, and is done with after one search
-    boilerplate = (F.length(line) <= BOILERPLATE_WORDS * BOILERPLATE_WORD_CHARS) & F.lower(line).rlike(BOILERPLATE) & (F.size(split_words(line)) <= BOILERPLATE_WORDS)
-    return (line.rlike(f"[{SYMBOLS}{SEPARATORS}]|!!") & marked(line)) | boilerplate
+    low = F.lower(line)
+
+    def menu(words: Column) -> Column:
+        return (F.size(F.filter(words, lambda w: w.isin(*MENU))) >= MENU_LEAST) & (F.size(F.filter(words, lambda w: w.isin(*MENU))) * 2 >= F.size(words))
+
+    # prose has none of these marks, begins with no menu word and breaks off nowhere: it is done with after four searches
+    boilerplate = low.rlike(BOILERPLATE) & (F.size(F.regexp_extract_all(low, F.lit(BOILERPLATE), F.lit(0))) * BOILERPLATE_WORDS >= F.size(split_words(line)))
+    navigation = low.rlike(_MENU_FIRST) & let(F.array_remove(F.split(low, f"[^{_LETTERS}]+"), ""), menu)
+    return (line.rlike(f"[{SYMBOLS}{SEPARATORS}]|!!") & marked(line)) | line.rlike(ELLIPSIS) | navigation | boilerplate
 
 
 def repeated_words(words: Column) -> Column:
@@ -119,9 +143,11 @@ win AS (SELECT doc_id, i, w[i:i+{WINDOW - 1}] AS g FROM (SELECT doc_id, w, unnes
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n >= 2),
 rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k AS p FROM again, range({WINDOW}) r(k)) GROUP BY doc_id),
 line AS (SELECT doc_id, unnest(l) AS x FROM w),
-judged AS (SELECT doc_id, x, length(regexp_replace(x, '[ \t-\r]+', '', 'g')) AS c, len(list_filter(regexp_split_to_array(x, '[ \t-\r]+'), lambda y: y <> '')) AS n,
+judged AS (SELECT doc_id, x, lower(x) AS y, list_filter(regexp_split_to_array(lower(x), '[^{_LETTERS}]+'), lambda y: y <> '') AS m, length(regexp_replace(x, '[ \t-\r]+', '', 'g')) AS c, len(list_filter(regexp_split_to_array(x, '[ \t-\r]+'), lambda y: y <> '')) AS n,
   length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS s, length(x) - length(replace(x, '!!', '')) AS sh, length(x) - length(regexp_replace(x, '[|»›•·→]', '', 'g')) AS sep FROM line),
-lost AS (SELECT doc_id, sum(CASE WHEN 100 * s > {MAX_SYMBOL_PERCENT} * c OR (sh > n AND n >= {SHOUT_WORDS}) OR (sep >= 3 AND sep * 4 >= n) OR (n <= {BOILERPLATE_WORDS} AND length(x) <= {BOILERPLATE_WORDS * BOILERPLATE_WORD_CHARS} AND regexp_matches(lower(x), '{BOILERPLATE}')) THEN c ELSE 0 END) AS lost_chars FROM judged GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(CASE WHEN 100 * s > {MAX_SYMBOL_PERCENT} * c OR (sh > n AND n >= {SHOUT_WORDS}) OR (sep >= 3 AND sep * 4 >= n) OR regexp_matches(x, '{ELLIPSIS}')
+  OR (regexp_matches(y, '{BOILERPLATE}') AND len(regexp_extract_all(y, '{BOILERPLATE}')) * {BOILERPLATE_WORDS} >= n)
+  OR (regexp_matches(y, '{_MENU_FIRST}') AND len(list_filter(m, lambda k: k IN {MENU})) >= {MENU_LEAST} AND len(list_filter(m, lambda k: k IN {MENU})) * 2 >= len(m)) THEN c ELSE 0 END) AS lost_chars FROM judged GROUP BY doc_id),
 base AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]+', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (SELECT count(*) - count(DISTINCT x) FROM (SELECT unnest(l) AS x) WHERE regexp_matches(x, '[^ \t-\r]'))::BIGINT AS n_dup_lines FROM w)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, base_failed,

@@ -3,9 +3,11 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leafmill.llm import decontam, licenses, linededup, pieces, quality, sharding, simhash, substring, tokenbin, warc
+from tests.llm import brute
 
 LONG = " ".join(f"w{i % 997}x{i // 7}" for i in range(120_000))
 SENTENCE = "the quick brown fox jumps over the lazy dog while seven wizards brew a strong potion of herbs near the old stone bridge at dawn"
@@ -104,12 +106,33 @@ def test_license_results(docs):
 
 def test_a_changed_template_is_found(spark):
     words = licenses.TEMPLATES["mit"].split()
-    words.insert(6, "really")
-    docs = spark.createDataFrame([(1, "before it " + " ".join(words) + " after"), (2, " ".join(words[:9]))], "doc_id long, text string")
+    words.insert(16, "really")
+    gpl = licenses.TEMPLATES["gpl 2.0"].split()
+    docs = spark.createDataFrame([(1, "before it " + " ".join(words) + " after"), (2, " ".join(words[:20])), (3, "x " + " ".join(gpl[900:960])), (4, licenses.TEMPLATES["lgpl notice"]), (5, "Released under the MIT License.")], "doc_id long, text string")
     made = _of(licenses.report(docs), ["labels", "n_base"])
-    assert made == {1: [("mit", 0)], 2: [("", 0)]}
-    (span,) = licenses.find(docs)[1].collect()
-    assert (span["first"], span["last"]) == (2, len(words) + 1)
+    assert made == {1: [("mit", 0)], 2: [("", 0)], 3: [("gpl", 0)], 4: [("gpl,lgpl", 1)], 5: [("mit", 0)]}
+    span = min((r for r in licenses.find(docs)[1].collect() if r["doc"] == 1), key=lambda r: r["first"])
+    assert 2 <= span["first"] < 20 and span["last"] > 100
+
+
+def test_every_template_names_its_license_alone(spark):
+    """Of whole texts, and of 60 words from the middle of those that are long enough, the label is told."""
+    rows = [(name, text) for name, text in licenses.TEMPLATES.items()] + [(name, " ".join(text.split()[len(text.split()) // 2 :][:60])) for name, text in licenses.TEMPLATES.items() if len(text.split()) > 200 and name not in ("bsd",)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    made = _of(licenses.report(docs), ["labels"])
+    for i, (name, _) in enumerate(rows):
+        assert licenses.label_of(name) in made[i][0][0].split(","), (name, made[i])
+
+
+def test_lines_that_fail(spark):
+    lines = {
+        "Home About Contact Login": True, "Accueil, Connexion, Aide": True, "Home is where the heart is.": False, "Help! Help!": False,
+        "All rights reserved.": True, "Read our privacy policy " + "and then some more words of a long sentence " * 5 + ".": False,
+        "privacy policy " * 60 + ".": True, "word " * 25: False, "The rest of it can be...": True, "[And more…] ": True, "And... so on.": False, "Alle Rechte vorbehalten": True, "a | b | c | d": True,
+    }
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    made = {r["line"]: r["f"] for r in frame.select("line", quality.line_fails(F.col("line")).alias("f")).collect()}
+    assert made == lines == {x: brute.line_fails(x) for x in lines}
 
 
 def test_line_results(docs):
