@@ -1,12 +1,12 @@
 """Token ids in files of our own: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Each id is coded as: does the order-2 context's prediction hold (else the order-1 one)? If not, does the order-1 prediction? If not, the order-0 model codes its upper byte as two adaptive nibbles, the second in the context of the first; what is below is stored as it is. The odds of the first answer mix what the order-2 confidence and the order-1 confidence have been worth so far. Models start anew with every block, so each block is decoded on its own; its header has the CRC-32 of its ids and of its bytes.
+Predictions of three orders drive the coder. The order-2 context (where it is known, else the order-1 context) guesses the id. The odds that the guess holds come from logistic mixing, with weights learned as the block goes on, of what the order-2 confidence has been worth so far, of what the order-1 confidence has been worth, and of the guess's order-0 frequency. If it does not hold, an order-1 guess of its own has its turn; else the id is coded by its order-0 frequency. Models start anew with every block. What they start from, the order-0 frequencies, is told once for a segment of blocks, so that short blocks need not learn the vocabulary; ids that stand once in a segment are escapes, with their bytes apart. A block is decoded on its own, from its bytes and its segment's frequencies; its entry in the footer has the CRC-32 of its ids and of its bytes.
 
-Python steps through the blocks of a file side by side, one lane of numpy a block: one step codes one id of each of up to `LANES` blocks. All arithmetic is on integers.
+Python steps through the blocks of a segment side by side, one lane of numpy a block: one step codes one id of each of up to `LANES` blocks. All arithmetic is on integers.
 
-File: magic, block payloads, footer (documents: id, length; blocks: offset, bytes, ids, CRCs), CRC of the footer, its length, magic.
+File: magic, segments (frequencies, block payloads), footer (documents: id, length; segments: offset, bytes, CRC, blocks; blocks: offset, bytes, ids, CRCs), CRC of the footer, its length, magic.
 
-Documents go to files by ascending doc_id (null first; rows with one id by text). Null text is empty: its document holds the end id only. An empty table gives no files and no rows.
+Documents go to files by ascending doc_id (null first; rows with one id by text, equal rows one after the other). Null text is empty: its document holds the end id only, like that of an empty text; long texts go over as many blocks as they need. An empty table gives no files and no rows. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,43 +25,85 @@ from pyspark.sql.window import Window
 from leafmill.llm.common import filesystem, partitions, shared_dir, write_once
 
 END = 2
-BLOCK = 2048
-LANES = 4096
-MAGIC = b"LMIDS001"
+BLOCK = 4096
+LANES = 2048
+MAGIC = b"LMIDS002"
 #: Words kept with their ids in a Python worker.
 CACHE = 400_000
 
 _BITS = 12
 _ONE = 1 << _BITS
 _LOW, _HIGH = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_SLOTS = 2048
-_FLOOR = 32
-#: What the lower bounds of sixteen symbols move towards after symbol s.
-_TOWARDS = np.array([[_FLOOR * i + (_ONE - 16 * _FLOOR) * (i > s) for i in range(16)] for s in range(16)], np.int16)
-_START = np.arange(16, dtype=np.int16) * (_ONE // 16)
+_SLOTS = 4096
+#: Order-0 frequencies of a segment sum to two to the power of this.
+_TOTAL_BITS = 20
+_TOTAL = 1 << _TOTAL_BITS
+_P = (np.arange(_ONE) + 0.5) / _ONE
+#: The logarithm of odds of a probability, in 256ths, and back.
+_STRETCH = np.clip(np.rint(np.log(_P / (1 - _P)) * 256), -2047, 2047).astype(np.int32)
+_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, _ONE - 32).astype(np.int32)
+_RATE = 6
+
+
+class Table:
+    """Order-0 frequencies of a segment: of each id that stands twice or more, and of the escape that stands for all others."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, once: int):
+        self.ids, self.counts, self.once = ids.astype(np.uint32), counts.astype(np.int64), once
+        every = np.r_[self.counts, once + 1]
+        share = np.maximum(1, every * (_TOTAL - len(every)) // every.sum())
+        share[int(share.argmax())] += _TOTAL - int(share.sum())
+        self.width, self.start = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
+        self.slots = np.repeat(np.arange(len(share), dtype=np.uint32), share)
+        self.worth = np.full(1 << 16, _STRETCH[1], np.int32)  # of an id's lower 16 bits, as an input of the mixing
+        self.worth[self.ids & 0xFFFF] = _STRETCH[np.clip(share[:-1] >> (_TOTAL_BITS - _BITS), 1, _ONE - 1)]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Table:
+        known, counts = np.unique(ids, return_counts=True)
+        often = counts > 1
+        return cls(known[often], counts[often], int((~often).sum()))
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """The place of each id in the table; that of the escape for those that it does not have."""
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        return np.where(self.ids[at] == ids, at, len(self.ids))
+
+    def pack(self) -> bytes:
+        columns = (np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4"), self.counts.astype("<u4"))
+        planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns)
+        return struct.pack("<II", len(self.ids), self.once) + zlib.compress(planes, 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Table:
+        n, once = struct.unpack_from("<II", data)
+        planes = np.frombuffer(zlib.decompress(data[8:]), np.uint8).reshape(2, 4, n)
+        gaps, counts = (np.ascontiguousarray(p.T).reshape(-1).view("<u4").astype(np.int64) for p in planes)
+        return cls(np.cumsum(gaps), counts, once)
 
 
 class _Model:
     """The state of each lane's models, and the odds they give."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
+    def __init__(self, lanes: int, table: Table):
+        self.lane, self.worth = np.arange(lanes), table.worth
         self.base = self.lane * _SLOTS
         self.two = np.zeros(lanes * _SLOTS, np.uint32)  # id << 2 | confidence
         self.one = np.zeros(lanes * _SLOTS, np.uint32)
-        self.first = np.full(lanes * 8, _ONE // 2, np.int32)  # odds by order-2 confidence and agreement
-        self.mixed = np.full(lanes * 4, _ONE // 2, np.int32)  # by order-1 confidence
-        self.second = np.full(lanes * 4, _ONE // 2, np.int32)
-        self.upper = np.tile(_START, (lanes, 1))
-        self.lower = np.tile(_START, (lanes * 16, 1))
+        self.first = np.full(lanes * 8, _ONE // 4, np.int32)  # odds by order-2 confidence and agreement
+        self.mixed = np.full(lanes * 4, _ONE // 4, np.int32)  # by order-1 confidence
+        self.second = np.full(lanes * 4, _ONE // 8, np.int32)
+        self.weights = [np.full(lanes * 8, w, np.int32) for w in (30_000, 22_000, 13_000)]  # 65536: one
         self.c1 = np.zeros(lanes, np.uint32)
         self.c2 = np.zeros(lanes, np.uint32)
 
     def predict(self, k: int) -> None:
         """Looks up both predictions for the first k lanes."""
         base, c1, c2 = self.base[:k], self.c1[:k], self.c2[:k]
-        self.i2 = base + ((c2 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA6B)) >> np.uint32(21))
-        self.i1 = base + ((c1 * np.uint32(0x9E3779B1)) >> np.uint32(21))
+        self.i2 = base + ((c2 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA6B)) >> np.uint32(20))
+        self.i1 = base + ((c1 * np.uint32(0x9E3779B1)) >> np.uint32(20))
         self.s2, self.s1 = self.two[self.i2], self.one[self.i1]
         n2, self.n1 = self.s2 & 3, self.s1 & 3
         self.p2, self.p1 = self.s2 >> 2, self.s1 >> 2
@@ -69,55 +111,53 @@ class _Model:
         lane = self.lane[:k]
         self.ia = lane * 8 + n2 * 2 + (self.p2 == self.p1)
         self.ib = lane * 4 + self.n1
-        self.odds = np.clip((self.first[self.ia] + self.mixed[self.ib]) >> 1, 32, _ONE - 32).astype(np.uint64)
+        self.inputs = (_STRETCH[self.first[self.ia]], _STRETCH[self.mixed[self.ib]], self.worth[self.guess & np.uint32(0xFFFF)])
+        own = [w[self.ia] for w in self.weights]
+        total = (self.inputs[0] * own[0] + self.inputs[1] * own[1] + self.inputs[2] * own[2]) >> 16
+        self.p = _SQUASH[np.clip(total, -2047, 2047) + 2047]
+        self.odds = self.p.astype(np.uint64)
 
     def learn_first(self, hit: np.ndarray) -> None:
-        goal = np.where(hit, _ONE, 0).astype(np.int32)
-        self.first[self.ia] += (goal - self.first[self.ia]) >> 4
-        self.mixed[self.ib] += (goal - self.mixed[self.ib]) >> 4
+        goal = np.where(hit, _ONE - 1, 0).astype(np.int32)
+        error = (goal - self.p) * _RATE
+        for w, x in zip(self.weights, self.inputs, strict=True):
+            w[self.ia] += (x * error + 0x8000) >> 16
+        self.first[self.ia] += (goal - self.first[self.ia]) >> 5
+        self.mixed[self.ib] += (goal - self.mixed[self.ib]) >> 5
 
     def second_odds(self, at: np.ndarray) -> np.ndarray:
         self.ic = at * 4 + self.n1[at]
         return np.clip(self.second[self.ic], 32, _ONE - 32).astype(np.uint64)
 
     def learn_second(self, hit: np.ndarray) -> None:
-        self.second[self.ic] += (np.where(hit, _ONE, 0).astype(np.int32) - self.second[self.ic]) >> 4
+        self.second[self.ic] += (np.where(hit, _ONE, 0).astype(np.int32) - self.second[self.ic]) >> 5
 
     def learn_id(self, ids: np.ndarray, k: int) -> None:
         for table, i, s, p in ((self.two, self.i2, self.s2, self.p2), (self.one, self.i1, self.s1, self.p1)):
             n = s & 3
-            hit = p == ids
-            table[i] = np.where(hit, s + (n < 3), np.where(n > 1, s - 1, ids << 2 | 1))
+            table[i] = np.where(p == ids, s + (n < 3), np.where(n > 1, s - 1, ids << 2 | 1))
         self.c2[:k] = self.c1[:k]
         self.c1[:k] = ids
 
 
-def _bounds(rows: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bound and width of symbol s in each row."""
-    at = np.arange(len(s))
-    low = rows[at, s].astype(np.int64)
-    high = np.where(s == 15, _ONE, rows[at, np.minimum(s + 1, 15)])
-    return low.astype(np.uint64), (high - low).astype(np.uint64)
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK, raw: int = 1) -> list[bytes]:
-    """The payload of each block of up to `block` ids; raw: bytes stored below the upper byte."""
+def encode_blocks(ids: np.ndarray, table: Table, block: int = BLOCK, raw: int = 2) -> list[bytes]:
+    """The payload of each block of up to `block` ids of a segment; raw: bytes of an escaped id."""
     out: list[bytes] = []
     for at in range(0, len(ids), block * LANES):
-        out += _encode(ids[at : at + block * LANES].astype(np.uint32), block, raw)
+        out += _encode(ids[at : at + block * LANES].astype(np.uint32), table, block, raw)
     return out
 
 
-def _encode(ids: np.ndarray, block: int, raw: int) -> list[bytes]:
+def _encode(ids: np.ndarray, table: Table, block: int, raw: int) -> list[bytes]:
     lanes = -(-len(ids) // block)
-    full = np.zeros(lanes * block, np.uint32)
-    full[: len(ids)] = ids
-    steps = np.ascontiguousarray(full.reshape(lanes, block).T)
+    full, places = np.zeros(lanes * block, np.uint32), np.zeros(lanes * block, np.uint32)
+    full[: len(ids)], places[: len(ids)] = ids, table.place(ids)
+    steps, coded_as = (np.ascontiguousarray(x.reshape(lanes, block).T) for x in (full, places))
     last = len(ids) - (lanes - 1) * block
-    model = _Model(lanes)
+    model, escape = _Model(lanes, table), len(table.ids)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
     units, pos = np.zeros((lanes, 2 * block + 3), np.uint32), np.zeros(lanes, np.int64)
-    kept, many = np.zeros((lanes, block, raw), np.uint8), np.zeros(lanes, np.int64)
+    kept, many = np.zeros((lanes, int((places == escape).sum()) and block, raw), np.uint8), np.zeros(lanes, np.int64)
 
     def even(small: np.ndarray) -> None:
         units[small, pos[small]] = low[small] >> np.uint64(32)
@@ -134,37 +174,30 @@ def _encode(ids: np.ndarray, block: int, raw: int) -> list[bytes]:
         low[:k] += np.where(hit, np.uint64(0), bound)
         rng[:k] = np.where(hit, bound, rng[:k] - bound)
         model.learn_first(hit)
-        at = np.flatnonzero(~hit)
+        missed = ~hit
+        at = np.flatnonzero(missed & (model.n1 > 0) & (model.p1 != model.guess))
         if len(at):
-            x = now[at]
             odds = model.second_odds(at)
-            again = model.p1[at] == x
+            again = model.p1[at] == now[at]
             r = rng[at]
             bound = (r >> np.uint64(_BITS)) * odds
             low[at] += np.where(again, np.uint64(0), bound)
             rng[at] = np.where(again, bound, r - bound)
             model.learn_second(again)
+            missed[at[again]] = False
         even(np.flatnonzero(rng[:k] < _LOW))
+        at = np.flatnonzero(missed)
         if len(at):
-            at, x = at[~again], x[~again]
-            top = x >> np.uint32(8 * raw)
-            u, v = (top >> 4).astype(np.int64), (top & 15).astype(np.int64)
-            rows = model.upper[at]
-            start, width = _bounds(rows, u)
-            model.upper[at] = rows + ((_TOWARDS[u] - rows) >> 4)
-            r = rng[at] >> np.uint64(_BITS)
-            lo, r = start * r, width * r
-            of = at * 16 + u
-            rows = model.lower[of]
-            start, width = _bounds(rows, v)
-            model.lower[of] = rows + ((_TOWARDS[v] - rows) >> 4)
-            r >>= np.uint64(_BITS)
-            low[at] += lo + start * r
-            rng[at] = width * r
+            i = coded_as[t, at]
+            r = rng[at] >> np.uint64(_TOTAL_BITS)
+            low[at] += table.start[i] * r
+            rng[at] = table.width[i] * r
+            for _ in range(2):
+                even(at[rng[at] < _LOW])
+            at = at[i == escape]
             for j in range(raw):
-                kept[at, many[at], j] = (x >> np.uint32(8 * j)) & 255
+                kept[at, many[at], j] = (now[at] >> np.uint32(8 * j)) & 255
             many[at] += 1
-            even(np.flatnonzero(rng[:k] < _LOW))
         model.learn_id(now, k)
     for _ in range(3):
         units[np.arange(lanes), pos] = low >> np.uint64(32)
@@ -176,15 +209,15 @@ def _encode(ids: np.ndarray, block: int, raw: int) -> list[bytes]:
     return [struct.pack("<I", int(many[i])) + kept[i, : many[i]].tobytes() + coded[i, : pos[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(payloads: list[bytes], counts: list[int], raw: int = 1) -> list[np.ndarray]:
+def decode_blocks(payloads: list[bytes], counts: list[int], table: Table, raw: int = 2) -> list[np.ndarray]:
     """The ids of each block."""
     out: list[np.ndarray] = []
     for at in range(0, len(payloads), LANES):
-        out += _decode(payloads[at : at + LANES], np.array(counts[at : at + LANES], np.int64), raw)
+        out += _decode(payloads[at : at + LANES], np.array(counts[at : at + LANES], np.int64), table, raw)
     return out
 
 
-def _decode(payloads: list[bytes], counts: np.ndarray, raw: int) -> list[np.ndarray]:
+def _decode(payloads: list[bytes], counts: np.ndarray, table: Table, raw: int) -> list[np.ndarray]:
     order = np.argsort(-counts, kind="stable")  # lanes that end first come last
     lens = counts[order]
     lanes = len(payloads)
@@ -192,11 +225,12 @@ def _decode(payloads: list[bytes], counts: np.ndarray, raw: int) -> list[np.ndar
         return [np.zeros(0, np.uint32) for _ in payloads]
     stored = [struct.unpack_from("<I", payloads[i])[0] for i in order]
     coded = [np.frombuffer(payloads[i], "<u2", offset=4 + raw * n) for i, n in zip(order, stored, strict=True)]
-    units, kept = np.zeros((lanes, max(map(len, coded)) + 2), np.uint64), np.zeros((lanes, max(stored) + 1, raw), np.uint32)
+    units, kept = np.zeros((lanes, max(map(len, coded)) + 3), np.uint64), np.zeros((lanes, max(stored) + 1, raw), np.uint32)
     for j, (i, n) in enumerate(zip(order, stored, strict=True)):
         units[j, : len(coded[j])] = coded[j]
         kept[j, :n] = np.frombuffer(payloads[i], np.uint8, raw * n, 4).reshape(n, raw)
-    model = _Model(lanes)
+    model, escape = _Model(lanes, table), len(table.ids)
+    ids_at = np.r_[table.ids, np.uint32(0)]
     code = units[:, 0] << np.uint64(32) | units[:, 1] << np.uint64(16) | units[:, 2]
     rng = np.full(lanes, (1 << 48) - 1, np.uint64)
     pos, many = np.full(lanes, 3, np.int64), np.zeros(lanes, np.int64)
@@ -215,8 +249,8 @@ def _decode(payloads: list[bytes], counts: np.ndarray, raw: int) -> list[np.ndar
         code[:k] -= np.where(hit, np.uint64(0), bound)
         rng[:k] = np.where(hit, bound, rng[:k] - bound)
         model.learn_first(hit)
-        now = model.guess.copy()
-        at = np.flatnonzero(~hit)
+        now, missed = model.guess.copy(), ~hit
+        at = np.flatnonzero(missed & (model.n1 > 0) & (model.p1 != model.guess))
         if len(at):
             r = rng[at]
             bound = (r >> np.uint64(_BITS)) * model.second_odds(at)
@@ -225,30 +259,23 @@ def _decode(payloads: list[bytes], counts: np.ndarray, raw: int) -> list[np.ndar
             rng[at] = np.where(again, bound, r - bound)
             model.learn_second(again)
             now[at] = model.p1[at]
+            missed[at[again]] = False
         even(np.flatnonzero(rng[:k] < _LOW))
+        at = np.flatnonzero(missed)
         if len(at):
-            at = at[~again]
-            rows = model.upper[at]
-            r = rng[at] >> np.uint64(_BITS)
-            c = code[at]
-            u = (rows <= np.minimum(c // r, np.uint64(_ONE - 1)).astype(np.int16)[:, None]).sum(axis=1) - 1
-            start, width = _bounds(rows, u)
-            model.upper[at] = rows + ((_TOWARDS[u] - rows) >> 4)
-            c = c - start * r
-            r = (width * r) >> np.uint64(_BITS)
-            of = at * 16 + u
-            rows = model.lower[of]
-            v = (rows <= np.minimum(c // r, np.uint64(_ONE - 1)).astype(np.int16)[:, None]).sum(axis=1) - 1
-            start, width = _bounds(rows, v)
-            model.lower[of] = rows + ((_TOWARDS[v] - rows) >> 4)
-            code[at] = c - start * r
-            rng[at] = width * r
-            x = (u << 4 | v).astype(np.uint32) << np.uint32(8 * raw)
+            r = rng[at] >> np.uint64(_TOTAL_BITS)
+            i = table.slots[np.minimum(code[at] // r, np.uint64(_TOTAL - 1)).astype(np.int64)]
+            code[at] -= table.start[i] * r
+            rng[at] = table.width[i] * r
+            for _ in range(2):
+                even(at[rng[at] < _LOW])
+            now[at] = ids_at[i]
+            at = at[i == escape]
+            x = np.zeros(len(at), np.uint32)
             for j in range(raw):
-                x |= kept[at, many[at], j] << np.uint32(8 * j)
-            many[at] += 1
+                x |= kept[at, np.minimum(many[at], kept.shape[1] - 1), j] << np.uint32(8 * j)
             now[at] = x
-            even(np.flatnonzero(rng[:k] < _LOW))
+            many[at] += 1
         model.learn_id(now, k)
         found[t, :k] = now
     back = np.empty(lanes, np.int64)
@@ -260,10 +287,11 @@ def _decode(payloads: list[bytes], counts: np.ndarray, raw: int) -> list[np.ndar
 class Writer:
     """A file being filled: whole documents in order."""
 
-    def __init__(self, out, block: int = BLOCK, raw: int = 1):
+    def __init__(self, out, block: int = BLOCK, raw: int = 2):
         self.out, self.block, self.raw = out, block, raw
         self.at, self.rest, self.held = len(MAGIC), [], 0
         self.docs: list[tuple[int | None, int]] = []
+        self.segments: list[tuple[int, int, int, int]] = []
         self.blocks: list[tuple[int, int, int, int, int]] = []
         out.write(MAGIC)
 
@@ -278,9 +306,16 @@ class Writer:
         ids = np.concatenate(self.rest) if self.rest else np.zeros(0, np.uint32)
         now, self.rest = ids[:n], [ids[n:]]
         self.held = len(ids) - n
-        if n and int(now.max()) >= 1 << (8 * self.raw + 8):
+        if not n:
+            return
+        if int(now.max()) >= 1 << (8 * self.raw):
             raise ValueError("an id is too large for this file's width")
-        for i, payload in enumerate(encode_blocks(now, self.block, self.raw)):
+        table = Table.of(now)
+        told = table.pack()
+        self.segments.append((self.at, len(told), zlib.crc32(told), -(-n // self.block)))
+        self.out.write(told)
+        self.at += len(told)
+        for i, payload in enumerate(encode_blocks(now, table, self.block, self.raw)):
             own = now[i * self.block : (i + 1) * self.block].astype("<u4")
             self.blocks.append((self.at, len(payload), len(own), zlib.crc32(own), zlib.crc32(payload)))
             self.out.write(payload)
@@ -291,7 +326,7 @@ class Writer:
         ids = np.array([d or 0 for d, _ in self.docs], "<i8")
         known = np.array([d is not None for d, _ in self.docs], np.uint8)
         lens = np.array([n for _, n in self.docs], "<i8")
-        foot = struct.pack("<QQB", len(self.docs), len(self.blocks), self.raw) + ids.tobytes() + known.tobytes() + lens.tobytes() + np.array(self.blocks, "<u8").tobytes()
+        foot = struct.pack("<QQQB", len(self.docs), len(self.segments), len(self.blocks), self.raw) + ids.tobytes() + known.tobytes() + lens.tobytes() + np.array(self.segments, "<u8").tobytes() + np.array(self.blocks, "<u8").tobytes()
         self.out.write(foot + struct.pack("<IQ", zlib.crc32(foot), len(foot)) + MAGIC)
 
 
@@ -304,25 +339,34 @@ def read_file(data, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     foot = data.read(n)
     if zlib.crc32(foot) != crc:
         raise ValueError("the footer is damaged")
-    n_docs, n_blocks, raw = struct.unpack_from("<QQB", foot)
-    at = 17
+    n_docs, n_segments, n_blocks, raw = struct.unpack_from("<QQQB", foot)
+    at = 25
     docs = np.frombuffer(foot, "<i8", n_docs, at)
     known = np.frombuffer(foot, np.uint8, n_docs, at + 8 * n_docs)
     lens = np.frombuffer(foot, "<i8", n_docs, at + 9 * n_docs)
-    blocks = np.frombuffer(foot, "<u8", 5 * n_blocks, at + 17 * n_docs).reshape(-1, 5).astype(np.int64)
+    segments = np.frombuffer(foot, "<u8", 4 * n_segments, at + 17 * n_docs).reshape(-1, 4).astype(np.int64)
+    blocks = np.frombuffer(foot, "<u8", 5 * n_blocks, at + 17 * n_docs + 32 * n_segments).reshape(-1, 5).astype(np.int64)
 
     def ids() -> Iterator[np.ndarray]:
-        for i in range(0, len(blocks), LANES):
-            own = blocks[i : i + LANES]
-            data.seek(int(own[0, 0]))
-            chunk = data.read(int(own[-1, 0] + own[-1, 1] - own[0, 0]))
-            payloads = [chunk[o - own[0, 0] : o - own[0, 0] + m] for o, m in own[:, :2].tolist()]
-            if any(zlib.crc32(p) != c for p, c in zip(payloads, own[:, 4].tolist(), strict=True)):
-                raise ValueError("a block's bytes are damaged")
-            for x, c in zip(decode_blocks(payloads, own[:, 2].tolist(), raw), own[:, 3].tolist(), strict=True):
-                if zlib.crc32(x.astype("<u4")) != c:
-                    raise ValueError("a block's ids are damaged")
-                yield x
+        first = 0
+        for offset, size, crc, n in segments.tolist():
+            data.seek(offset)
+            told = data.read(size)
+            if zlib.crc32(told) != crc:
+                raise ValueError("a segment's frequencies are damaged")
+            table = Table.unpack(told)
+            for i in range(first, first + n, LANES):
+                own = blocks[i : min(i + LANES, first + n)]
+                data.seek(int(own[0, 0]))
+                chunk = data.read(int(own[-1, 0] + own[-1, 1] - own[0, 0]))
+                payloads = [chunk[o - own[0, 0] : o - own[0, 0] + m] for o, m in own[:, :2].tolist()]
+                if any(zlib.crc32(p) != c for p, c in zip(payloads, own[:, 4].tolist(), strict=True)):
+                    raise ValueError("a block's bytes are damaged")
+                for x, c in zip(decode_blocks(payloads, own[:, 2].tolist(), table, raw), own[:, 3].tolist(), strict=True):
+                    if zlib.crc32(x.astype("<u4")) != c:
+                        raise ValueError("a block's ids are damaged")
+                    yield x
+            first += n
 
     source, rest = ids(), np.zeros(0, np.uint32)
     for d, k, n in zip(docs.tolist(), known.tolist(), lens.tolist(), strict=True):
@@ -363,7 +407,7 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
 
 
-def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, raw: int = 1) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, raw: int = 2) -> tuple[str, DataFrame]:
     """Writes the ids of all documents to files in a new shared folder. Returns its URI and the committed file table: part (files in document order), file, n_ids."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "ids")
