@@ -6,7 +6,7 @@
 4. Index and probe rows meet by partition and value; pairs are verified by their bit difference. A meeting place with many rows is split into blocks that meet two by two in tasks of bounded size, and each place hands on a spanning star of its links, never all pairs.
 5. Components of the stars; all links between different fingerprints are in them.
 
-Null text, and text without words, has fingerprint zero and links like any other. Rows with the same id are separate rows. An empty table gives no rows.
+Null text, and text without words (an empty one, too), has fingerprint zero and links like any other. Long texts are hashed whole, in one row. Rows with the same id are separate rows, equal ones included; ties cannot be, as a component is named by its smallest id (null ids name none). An empty table gives no rows. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ Reading: records are selected on the index; those of one archive are sorted by o
 
 Hot digests: equal payloads meet as (digest, page_id) pairs only, in a group-by with map-side combining; the answer goes back over a salted join.
 
-Null html is an empty payload; null URLs are written as `urn:page:<id>`. Rows with one page_id are records of their own; a null page_id is written and read back as null and never is what others refer to. An empty table gives no records.
+Null html is an empty payload; null URLs are written as `urn:page:<id>`. Rows with one page_id are records of their own; a null page_id is written and read back as null and never is what others refer to. Equal rows are records of their own, too; of the rows with the largest page_id of a payload all are responses, so there are no ties. Empty payloads have a digest like any other, long ones a record of any length. An empty table gives no records. Columns other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
