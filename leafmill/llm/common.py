@@ -88,6 +88,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of numbers that are broadcast at most: some 50 bytes each, so 50 MB.
+BROADCAST = 1_000_000
+SALTS = 16
+
+
+def meet(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", most: int = BROADCAST) -> DataFrame:
+    """big joined with small, which is in the shared folder and holds a few numbers a row, one row for each key or few. It is counted and broadcast up to `most` rows. Beyond, both are shuffled, and small goes out under SALTS numbers, by one of which (dealt by the column `spread`) each row of big meets it: so a key with a third of all rows is SALTS smaller ones."""
+    if small.count() <= most:
+        return big.join(F.broadcast(small), on, how)
+    salted = small.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return big.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], how).drop("salt")
+
+
 def free(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing refers to any more. The driver's collector finds that out, and only then are executors told, so it takes a second round."""
     for _ in range(2):

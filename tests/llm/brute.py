@@ -67,9 +67,10 @@ def line_classes(lines):
 
 
 def dedup_lines(docs):
-    """Lines of each (text) that stay; documents in order of their ids."""
-    own = sorted({x for t in docs for x in (t or "").split("\n") if len(x) >= linededup.MIN_CHARS})
-    of = dict(zip(own, line_classes(own), strict=True))
+    """Lines of each (text) that stay; documents in order of their ids. Lines without words stay, short ones go where they are equal."""
+    spoken = {x for t in docs for x in (t or "").split("\n") if words(x)}
+    own = sorted(x for x in spoken if len(x) >= linededup.LONG)
+    of = dict(zip(own, line_classes(own), strict=True)) | {x: x for x in spoken if len(x) < linededup.LONG}
     seen, out = set(), []
     for t in docs:
         kept = []
@@ -88,7 +89,13 @@ def line_fails(line):
     symbols = sum(c in quality.SYMBOLS for c in line)
     marks = sum(c in quality.SEPARATORS for c in line)
     shout = 2 * line.count("!!")
-    boiler = n <= quality.BOILERPLATE_WORDS and len(line) <= quality.BOILERPLATE_WORDS * quality.BOILERPLATE_WORD_CHARS and re.search(quality.BOILERPLATE, line.lower())
+    found = len(re.findall(quality.BOILERPLATE, line.lower()))
+    boiler = found and found * quality.BOILERPLATE_WORDS >= n
+    off = line.rstrip(" \t\n\v\f\r])").endswith(("...", "…"))
+    own = re.findall(f"[{quality._LETTERS}]+", line.lower())
+    menu = sum(x in quality.MENU for x in own)
+    if off or (own and own[0] in quality.MENU and menu >= quality.MENU_LEAST and 2 * menu >= len(own)):
+        return True
     return 100 * symbols > quality.MAX_SYMBOL_PERCENT * chars or (shout > n and n >= quality.SHOUT_WORDS) or (marks >= 3 and 4 * marks >= n) or bool(boiler)
 
 

@@ -31,27 +31,50 @@ def test_token_files(spark, sf_dir, docs):
     assert list(made.itertuples(index=False, name=None)) == wanted
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 2047, 2048, 2049, 6000])
-@pytest.mark.parametrize("kind", ["zipf", "even", "same", "top"])
+@pytest.mark.parametrize("n", [0, 1, 2, 4095, 4096, 4097, 12_000])
+@pytest.mark.parametrize("kind", ["zipf", "even", "same", "top", "turns"])
 def test_range_coder(n, kind):
     rng = np.random.default_rng(n)
-    ids = {"zipf": rng.zipf(1.3, n) % 49408, "even": rng.integers(0, 65536, n), "same": np.full(n, 7), "top": np.full(n, 65535)}[kind].astype(np.uint32)
-    coded = tokenbin.encode_blocks(ids)
+    ids = {"zipf": rng.zipf(1.3, n) % 49408, "even": rng.integers(0, 65536, n), "same": np.full(n, 7), "top": np.full(n, 65535), "turns": np.arange(n) * 7919 % 13}[kind].astype(np.uint32)
+    table = tokenbin.Table.unpack(tokenbin.Table.of(ids).pack())
+    coded = tokenbin.encode_blocks(ids, table)
     counts = [min(tokenbin.BLOCK, n - i) for i in range(0, n, tokenbin.BLOCK)]
-    back = tokenbin.decode_blocks(coded, counts)
+    back = tokenbin.decode_blocks(coded, counts, table)
     assert np.array_equal(np.concatenate(back) if back else ids[:0], ids)
-    if n > 2048:  # blocks are independent
-        assert np.array_equal(tokenbin.decode_blocks(coded[1:2], counts[1:2])[0], ids[2048:4096])
-    if kind == "zipf" and n == 6000:
-        assert sum(map(len, coded)) < 2 * n * 0.8
+    if n > 4096:  # blocks are independent
+        assert np.array_equal(tokenbin.decode_blocks(coded[1:2], counts[1:2], table)[0], ids[4096:8192])
+    if kind in ("same", "turns") and n == 12_000:
+        assert sum(map(len, coded)) < n // 10
 
 
 def test_wide_ids():
-    ids = np.random.default_rng(1).integers(0, 1 << 24, 5000).astype(np.uint32)
-    back = tokenbin.decode_blocks(tokenbin.encode_blocks(ids, raw=2), [2048, 2048, 904], raw=2)
+    ids = np.random.default_rng(1).integers(0, 1 << 24, 10_000).astype(np.uint32)
+    table = tokenbin.Table.of(ids)
+    back = tokenbin.decode_blocks(tokenbin.encode_blocks(ids, table, raw=3), [4096, 4096, 1808], table, raw=3)
     assert np.array_equal(np.concatenate(back), ids)
 
 
+def test_files_are_small(docs):
+    """On real texts: below zlib over blocks of the same size, and about the order-0 entropy, whole files with frequencies and footer."""
+    import io
+
+    import public_tokenizers
+
+    out = io.BytesIO()
+    writer = tokenbin.Writer(out)
+    every = tokenbin.encode_texts(public_tokenizers.path("word_bpe_49k.json"), [t or "" for t in docs["text"]])
+    for d, ids in enumerate(every):
+        writer.add(d, ids)
+    writer.close()
+    ids = np.concatenate(every)
+    counts = np.unique(ids, return_counts=True)[1]
+    entropy = -(counts * np.log2(counts / len(ids))).sum() / len(ids)
+    zipped = sum(len(zlib.compress(ids[i : i + tokenbin.BLOCK].astype("<u2").tobytes(), 6)) for i in range(0, len(ids), tokenbin.BLOCK))
+    size = len(out.getvalue())
+    assert size < 0.9 * zipped and 8 * size / len(ids) < entropy + 0.6, (8 * size / len(ids), entropy, 8 * zipped / len(ids))
+    assert [x.tolist() for _, x in tokenbin.read_file(out, size)] == [x.tolist() for x in every]
+
+
 def test_damage_is_noticed():
     import io
 
@@ -165,22 +188,41 @@ def _typos(line, n, rnd, letters="abcdefgh ij"):
     return "".join(x)
 
 
-def test_edit_join_finds_all(spark):
-    """Lines that differ by 0 to 4 edits, in one large group with a common start and many small ones, places split into blocks."""
+@pytest.mark.parametrize(("levels", "most"), [(0, 0), (2, 1_000_000)])
+def test_edit_join_finds_all(spark, levels, most, monkeypatch):
+    """Lines that differ by 0 to 4 edits, in one large group with a common start and many small ones; places refined, split into blocks; tables broadcast or salted."""
+    from pyspark.sql import functions as F
+
+    from leafmill.llm import common
+
+    monkeypatch.setattr(common.meet, "__defaults__", ("inner", most))
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdefgh ij") for _ in range(rnd.randint(24, 60))) for _ in range(40)]
     lines = sorted({x for b in base for x in [b] + [_typos(b, rnd.randint(1, 4), rnd) for _ in range(4)] if len(x) >= 24})
     hot = "the very same beginning of a line "
-    lines += [hot + f"{i:02d}" for i in range(60)]
-    frame = spark.createDataFrame([(x,) for x in lines], "text string")
-    found = {frozenset((r["a"], r["b"])) for r in linededup.links(frame, place=16).collect()}
-    ids = [linededup._id(x) for x in lines]
-    at = {i: k for k, i in enumerate(ids)}
+    lines += [hot + f"{i:02d}" for i in range(60)] + [hot + "".join(rnd.choice("abcdefgh") for _ in range(14)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "at long, text string").withColumn("fp", F.lit(0).cast("long"))
+    shared = linededup._places(frame, False).select(F.col("k1").alias("key")).distinct()
+    found = {frozenset((r["a"], r["b"])) for r in linededup.links(frame, shared, place=16, levels=levels)[0].collect()}
+    at = {r["id"]: r["at"] for r in frame.select("at", linededup._id(F.col("text")).alias("id")).collect()}
     mine = brute.components(len(lines), [tuple(at[i] for i in p) for p in found])
     assert mine == brute.line_classes(lines)
     assert all(brute.edit_distance(*[lines[at[i]] for i in p]) <= 4 for p in found)  # a star's rays may be two steps
 
 
+def test_short_lines_go_where_they_are_equal(spark):
+    """Lines of 1 to 23 characters, blank ones, and the place where lines become long."""
+    rnd = random.Random(2)
+    some = ["Read more", "a", "b", "Ä" * 23, "x" * 22 + "y", "All rights reserved.", "a line of 24 characters!", "a line of 24 characters?", "a line of 23 character!", "a line of 23 character?"]
+    docs = ["\n".join(rnd.choice([*some, "", " \t", f"only here {i}"]) for _ in range(rnd.randint(1, 12))) for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    made = {r["doc_id"]: r for r in linededup.report(frame).collect()}
+    for i, (t, kept) in enumerate(zip(docs, brute.dedup_lines(docs), strict=True)):
+        assert (made[i]["n_removed"], made[i]["kept_sha256"]) == (len(t.split("\n")) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    whole = {r["doc_id"]: r["text"] for r in linededup.clean(frame).collect()}
+    assert whole == {i: "\n".join(kept) for i, (t, kept) in enumerate(zip(docs, brute.dedup_lines(docs), strict=True)) if brute.words("\n".join(kept)) or "\n".join(kept) == t}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3, 5])
 def test_banded_distance(edits):
     rnd = random.Random(edits)
@@ -235,3 +277,17 @@ def test_allocation_is_least():
     for k in range(50):
         best = min(sum(costs[i, r[i] + 1, k] for i in range(4)) for r in product(range(-1, 4), repeat=4) if sum(r) == 0)
         assert sum(costs[i, radii[i, k] + 1, k] for i in range(4)) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_of_stars_and_paths(spark, most, monkeypatch):
+    """Centres with far more edges than DEGREE, both largest and smallest of their stars, paths, circles and single edges."""
+    from leafmill.llm import common, components
+
+    monkeypatch.setattr(common.meet, "__defaults__", ("inner", most))
+    rnd = random.Random(3)
+    pairs = [(0, i) for i in range(1, 300)] + [(999, i) for i in range(700, 950)] + [(i, i + 1) for i in range(400, 440)] + [(400, 440)]
+    pairs += [(i, i + 1) for i in range(500, 600, 2)] + [(7, 7)] + [tuple(rnd.sample(range(600, 690), 2)) for _ in range(40)]
+    found = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    wanted = brute.components(1000, pairs)
+    assert found == {n: wanted[n] for n in {x for p in pairs if p[0] != p[1] for x in p}}
