@@ -411,54 +411,173 @@ def size_matrix(spark, d):
 # Kernels
 
 
-def _kernel(docs: DataFrame, f: Callable[[bytes], tuple[int, bool]]) -> DataFrame:
+def _kernel(docs: DataFrame, back: Callable[[bytes], bytes | None]) -> DataFrame:
+    """raw_bytes and digest of what a kernel gives back for each text; a null digest where it declines."""
+    import hashlib
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            made = [f((s or "").encode()) for s in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "raw_bytes": [len((s or "").encode()) for s in x["text"]], "exact": [ok for _, ok in made]})
+            made = [(len(b), back(b)) for b in ((s or "").encode() for s in x["text"])]
+            yield pd.DataFrame({"doc_id": x["doc_id"], "raw_bytes": [n for n, _ in made], "digest": [None if out is None else hashlib.sha256(out).hexdigest() for _, out in made]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, raw_bytes bigint, exact boolean")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, raw_bytes bigint, digest string")
 
 
-_EXACT = "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS raw_bytes, true AS exact FROM documents"
+_DIGESTS = "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS raw_bytes, sha256(coalesce(text, '')) AS digest FROM documents"
 
 
-@query(_EXACT)
+@query(_DIGESTS)
 def deflate_roundtrip(spark, d):
-    """Deflate and back."""
+    """A weakly deflated text is deflated anew where that is smaller, and inflated."""
+    import zlib
+
     from leafmill.functions import codecs
 
-    return _kernel(t(spark, d, "documents"), lambda b: (0, codecs.inflate_capped(codecs.deflate(b)) == b))
+    def back(b: bytes) -> bytes | None:
+        weak = zlib.compress(b, 1)
+        return codecs.inflate_capped(codecs.redeflate(weak) or weak)
+
+    return _kernel(t(spark, d, "documents"), back)
 
 
-@query(_EXACT)
+@query(_DIGESTS)
 def png_filters(spark, d):
-    """All PNG filters and back, rows of 64 bytes of 4 channels."""
+    """Whole texts, filled up to rows of 64 bytes of 4 channels, through all five PNG filters one after the other."""
     from leafmill.functions import codecs
 
-    def check(b: bytes) -> tuple[int, bool]:
-        b = b[: len(b) // 64 * 64]
-        return 0, all(codecs.png_defilter(codecs.png_filter(b, 64, 4, tag), 64, 4) == b for tag in range(3))
+    def back(b: bytes) -> bytes | None:
+        x = b + bytes(-len(b) % 64)
+        for tag in range(5):
+            x = codecs.png_defilter(codecs.png_filter(x, 64, 4, tag), 64, 4)
+            if x is None:
+                return None
+        return x[: len(b)]
 
-    return _kernel(t(spark, d, "documents"), check)
+    return _kernel(t(spark, d, "documents"), back)
 
 
-@query(_EXACT)
+@query(_DIGESTS)
 def lzw_roundtrip(spark, d):
-    """LZW with the common and the late change of width."""
+    """LZW with the late, then with the common change of width."""
     from leafmill.functions import codecs
 
-    return _kernel(t(spark, d, "documents"), lambda b: (0, all(codecs.lzw_decode(codecs.lzw_encode(b, e), e) == b for e in (0, 1))))
+    return _kernel(t(spark, d, "documents"), lambda b: codecs.lzw_decode(codecs.lzw_encode(codecs.lzw_decode(codecs.lzw_encode(b, 0), 0), 1), 1))
 
 
-@query(_EXACT)
+@query(_DIGESTS)
 def ascii_filters(spark, d):
-    """ASCII85 and hexadecimal chains back to the bytes."""
+    """A chain of hexadecimal over ASCII85 over deflate, back to the bytes."""
     import base64
+    import zlib
 
     from leafmill.functions import codecs
 
-    return _kernel(t(spark, d, "documents"), lambda b: (0, codecs.decode_chain(base64.a85encode(b) + b"~>", ["ASCII85Decode"], []) == b and codecs.decode_chain((b.hex() + ">").encode(), ["ASCIIHexDecode"], []) == b))
+    return _kernel(t(spark, d, "documents"), lambda b: codecs.decode_chain(((base64.a85encode(zlib.compress(b)) + b"~>").hex() + ">").encode(), ["ASCIIHexDecode", "ASCII85Decode", "FlateDecode"], []))
+
+
+@query(_DIGESTS)
+def fax_roundtrip(spark, d):
+    """The bits of whole texts, in rows of 512, as Group 4, byte for byte back, and once more as Group 3."""
+    import numpy as np
+
+    from leafmill.functions import ccitt
+
+    def back(b: bytes) -> bytes | None:
+        if not b:
+            return b
+        rows = np.unpackbits(np.frombuffer(b + bytes(-len(b) % 64), np.uint8).reshape(-1, 64), axis=1).astype(bool)
+        once = ccitt.decode_g4(ccitt.encode_g4(rows), 512, len(rows))
+        return np.packbits(ccitt.decode_g3(ccitt.encode_g3(once), 512), axis=1).tobytes()[: len(b)]
+
+    return _kernel(t(spark, d, "documents"), back)
+
+
+@query("SELECT p_partkey, sha256(p_name) AS digest, octet_length(encode(p_name))::BIGINT AS rows FROM part")
+def bitonal_regions(spark, d):
+    """The bits of each name, a row a byte, as the smallest JBIG2 region over all templates, and back."""
+    import hashlib
+
+    import numpy as np
+
+    from leafmill.functions import jbig2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for key, name in zip(x["p_partkey"], x["p_name"], strict=True):
+                rows = np.unpackbits(np.frombuffer(name.encode(), np.uint8).reshape(-1, 1), axis=1).astype(bool)
+                found = jbig2.decode_embedded(jbig2.encode_best(rows))
+                out.append((key, hashlib.sha256(np.packbits(found, axis=1).tobytes()).hexdigest(), len(found)))
+            yield pd.DataFrame(out, columns=["p_partkey", "digest", "rows"])
+
+    return t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name").mapInPandas(run, "p_partkey bigint, digest string, rows bigint")
+
+
+_PHOTO = "SELECT p_partkey, 16 + p_size AS w, 12 + p_size // 2 AS h, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 3 END AS n FROM part"
+
+
+@query(f"SELECT p_partkey, 'baseline' AS route, w::BIGINT AS width, h::BIGINT AS height, n::BIGINT AS components, (w + 1) // 2 AS half_width, (h + 1) // 2 AS half_height, true AS close, true AS same_pixels FROM ({_PHOTO})")
+def jpeg_frames(spark, d):
+    """Images are coded, their headers read, decoded whole and at half size; under new Huffman tables the pixels are the same ones."""
+    import numpy as np
+
+    from leafmill.functions import jpeg
+    from leafmill.sources.synth import image
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for key, size in zip(x["p_partkey"], x["p_size"], strict=True):
+                w, h, n = 16 + size, 12 + size // 2, 1 if key % 3 == 0 else 3
+                pixels = np.frombuffer(image(w, h, n, int(key)).decoded(), np.uint8).reshape(h, w, n)
+                data = jpeg.encode(pixels, 90)
+                frame, found, half = jpeg.parse(data), jpeg.decode(data), jpeg.decode(data, 4)
+                again = jpeg.assemble(frame, jpeg.coefficients(data, frame))
+                out.append((key, jpeg.route(data), frame.width, frame.height, len(frame.components), half.shape[1], half.shape[0], bool(np.abs(found.astype(int) - pixels).mean() < 12), bool((jpeg.decode(again) == found).all())))
+            yield pd.DataFrame(out, columns=["p_partkey", "route", "width", "height", "components", "half_width", "half_height", "close", "same_pixels"])
+
+    return t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("int").alias("p_size")).mapInPandas(run, "p_partkey bigint, route string, width bigint, height bigint, components bigint, half_width bigint, half_height bigint, close boolean, same_pixels boolean")
+
+
+@query("SELECT c_nationkey::BIGINT AS font, (c_custkey % 60000 + 1)::BIGINT AS code, (c_custkey * 7 % 3000 + 1)::BIGINT AS glyph FROM customer")
+def character_maps(spark, d):
+    """a font a nation whose character map, in the shorter of two formats, tells the glyph of each code."""
+    from leafmill.functions import sfnt
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(rows["code"].tolist(), rows["glyph"].tolist(), strict=True))
+        font = sfnt.with_cmap(sfnt.assemble({"head": bytes(54), "maxp": bytes(6)}), {(3, 1): of})
+        found = sfnt.cmap(sfnt.tables(font)["cmap"])[3, 1]
+        return pd.DataFrame({"font": int(rows["font"].iloc[0]), "code": list(found), "glyph": list(found.values())})
+
+    own = t(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("font"), (F.col("c_custkey") % 60000 + 1).cast("long").alias("code"), (F.col("c_custkey") * 7 % 3000 + 1).cast("long").alias("glyph"))
+    return own.groupBy("font").applyInPandas(run, "font bigint, code bigint, glyph bigint")
+
+
+@query("SELECT p_partkey, (2 + p_size % 9)::BIGINT AS glyphs, ((2 + p_size % 9) * p_size)::BIGINT AS before, 0::BIGINT AS after, false AS programs FROM part")
+def hints_stripped(spark, d):
+    """bytes of instructions in the glyphs of a font, before and after its hints are stripped, and whether programs are left."""
+    import struct
+
+    from leafmill.functions import sfnt
+
+    def instructions(font: bytes) -> int:
+        parts = sfnt.tables(font)
+        at = sfnt._places(parts)
+        return sum(struct.unpack_from(">H", parts["glyf"], a + 12)[0] for a, b in zip(at, at[1:], strict=False) if b > a)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for key, size in zip(x["p_partkey"], x["p_size"], strict=True):
+                n = 2 + size % 9
+                glyph = struct.pack(">hhhhhHH", 1, 0, 0, 9, 9, 2, size) + b"\1" * size + b"\1" * 3 + struct.pack(">hhhhhh", 0, 9, int(key % 99), 0, 9, 9)
+                font = sfnt.assemble(sfnt._put({"maxp": struct.pack(">IH", 0x10000, n) + bytes(26), "head": bytes(54)}, [glyph] * n) | {"fpgm": b"\1" * 9, "prep": b"\1"})
+                bare = sfnt.strip_hints(font)
+                out.append((key, n, instructions(font), instructions(bare), bool(set(sfnt.HINTS) & set(sfnt.tables(bare)))))
+            yield pd.DataFrame(out, columns=["p_partkey", "glyphs", "before", "after", "programs"])
+
+    return t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("int").alias("p_size")).mapInPandas(run, "p_partkey bigint, glyphs bigint, before bigint, after bigint, programs boolean")
 
 
 # Whole files
@@ -526,3 +645,104 @@ def pdf_optimized(spark, d):
     return optimized(_text_files(spark, d)).select("doc_id", "rewritten", (F.col("bytes_out") <= F.col("bytes_in")).alias("never_larger"), F.size("signatures").alias("n_signatures"))
 
 
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """A form a customer: a name that is drawn, and a market segment that a third of them have as a value without a drawing."""
+    from leafmill.sources.synth import form_document
+
+    rows = t(spark, d, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("int").alias("nation"), (F.col("c_acctbal") < 0).alias("owes"))
+    contents = {0: b"q Q\n", 1: b"q\n", 2: b"BT ET\n", 3: b"Q q\n", 4: b"1 0 0 rg\n"}
+
+    def make(r) -> tuple[str, bytes]:
+        second = (r.segment, False) if r.c_custkey % 3 == 0 else (None, False)
+        return str(r.c_custkey), form_document([("name", r.c_name, True), ("segment", *second)], bool(r.owes), contents[r.nation % 5])
+
+    return _files(rows, make)
+
+
+_FORM_RULES = "SELECT c_custkey::VARCHAR AS doc_id, c_custkey % 3 = 0 AS value_not_drawn, c_acctbal < 0 AS stale_appearances, c_nationkey % 5 IN (1, 3) AS content_not_spliceable, 2::BIGINT AS widgets, (CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS valued FROM customer"
+
+
+@query(f"SELECT *, value_not_drawn OR stale_appearances OR content_not_spliceable AS declined FROM ({_FORM_RULES})")
+def pdf_form_rules(spark, d):
+    """Parsed forms, a boolean column a rule; any rule declines the document."""
+    from leafmill.functions.forms import RULES
+    from leafmill.sources.tables import form_rules
+
+    every = None
+    for r in RULES:
+        every = F.col(r) if every is None else every | F.col(r)
+    return form_rules(_forms(spark, d)).select("doc_id", "value_not_drawn", "stale_appearances", "content_not_spliceable", "widgets", "valued", every.alias("declined"))
+
+
+@query(f"SELECT doc_id, CASE WHEN declined THEN 0 ELSE 1 END::BIGINT AS painted, CASE WHEN declined THEN widgets ELSE 0 END::BIGINT AS widgets_left, declined AS form_left FROM (SELECT *, value_not_drawn OR stale_appearances OR content_not_spliceable AS declined FROM ({_FORM_RULES}))")
+def pdf_flattened(spark, d):
+    """Forms are flattened, or left whole where a rule declines; what is painted and left is read from the written files."""
+    from leafmill.sources.tables import _parsed
+
+    names = ["doc_id", "painted", "widgets_left", "form_left"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from leafmill.functions import forms
+        from leafmill.functions.content import operations, page_bytes
+        from leafmill.sources.pdf import Name, parse, write
+
+        def tell(doc_id, doc) -> list[tuple]:
+            forms.flatten(doc)
+            again = parse(write(doc))
+            pages = [p for _, p in again.pages()]
+            burnt = sum(op == b"Do" and isinstance(x[0], Name) and x[0].startswith(forms.BURN_NAME) for p in pages if forms.form_of(again) is None for op, x in operations(page_bytes(again, p)))
+            return [(doc_id, burnt, len(forms.widgets(again)), forms.form_of(again) is not None)]
+
+        yield from _parsed(batches, names, tell)
+
+    return _forms(spark, d).mapInPandas(run, "doc_id string, painted bigint, widgets_left bigint, form_left boolean")
+
+
+_PAIRS = "SELECT p_partkey, 60 + p_size AS size, 10.0 + floor(p_retailprice)::INT % 20 AS pts FROM part"
+
+
+@query(f"SELECT p_partkey::VARCHAR AS doc_id, 1::BIGINT AS pairs, round(pts::DOUBLE * 130.0 / 72.0)::BIGINT AS width, round(pts::DOUBLE * 130.0 / 72.0)::BIGINT AS mask_width FROM ({_PAIRS})")
+def pdf_masked_pairs(spark, d):
+    """Images with soft masks shrink together to what their placement shows."""
+    from leafmill.sources.synth import masked_image
+
+    rows = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("p_size"), F.floor("p_retailprice").cast("int").alias("price"))
+    files = _files(rows, lambda r: (str(r.p_partkey), masked_image(int(r.p_partkey), 60 + r.p_size, 10.0 + r.price % 20)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from leafmill.functions.document import optimize
+        from leafmill.sources.pdf import Stream, parse
+
+        for x in batches:
+            out = []
+            for doc_id, content in zip(x["doc_id"], x["content"], strict=True):
+                made = optimize(bytes(content))
+                found = [v.dict for v in parse(made.output).objects.values() if isinstance(v, Stream) and v.dict.get("Subtype") == "Image"]
+                base, mask = sorted(found, key=lambda v: "SMask" not in v)
+                out.append((doc_id, made.passes.get("pairs", 0), base["Width"], mask["Width"]))
+            yield pd.DataFrame(out, columns=["doc_id", "pairs", "width", "mask_width"])
+
+    return files.mapInPandas(run, "doc_id string, pairs bigint, width bigint, mask_width bigint")
+
+
+_LEVELS = "SELECT p_partkey, 16 + p_size AS w, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 16 ELSE 256 END AS levels, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS bits FROM part"
+
+
+@query(f"SELECT p_partkey::VARCHAR AS doc_id, levels::BIGINT AS levels, bits::BIGINT AS bits, (20 * (w - (w * bits + 7) // 8))::BIGINT AS spared FROM ({_LEVELS})")
+def pdf_depth_headroom(spark, d):
+    """Q3, Q7: gray images of files with fewer levels than their bits a sample could tell, and the bytes that fewer bits would spare."""
+    from leafmill.sources.synth import levels_image
+    from leafmill.sources.tables import _parsed
+
+    rows = t(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("p_size"))
+    files = _files(rows, lambda r: (str(r.p_partkey), levels_image(16 + r.p_size, 20, (2, 4, 16, 256)[r.p_size % 4])))
+    names = ["doc_id", "levels", "bits", "spared"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from leafmill.functions.images import depth_headroom
+
+        yield from _parsed(batches, names, lambda doc_id, doc: [(doc_id, *x[1:]) for x in depth_headroom(doc)])
+
+    return files.mapInPandas(run, "doc_id string, levels bigint, bits bigint, spared bigint")
