@@ -101,10 +101,19 @@ def claim_scan(spark, d):
     return t(spark, d, "pages").select("page_id", F.nullif(found, F.lit("")).alias("claim"), F.coalesce(found.isin("de", "fr"), F.lit(False)).alias("declined"))
 
 
-@query()
+@query("""
+WITH RECURSIVE items AS (SELECT lang, doc_id, coalesce(n_chars, 0)::BIGINT AS n, strpos('0123456789abcdef', substr(md5(doc_id::VARCHAR), 8, 1)) - 1 AS shard FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, shard ORDER BY n DESC, doc_id) AS k FROM items),
+step AS (
+  SELECT DISTINCT lang, shard, 0::BIGINT AS k, []::BIGINT[] AS rooms, NULL::BIGINT AS doc_id, NULL::BIGINT AS n, NULL::BIGINT AS room FROM ranked
+  UNION ALL
+  SELECT lang, shard, k, CASE WHEN p = 0 THEN list_append(rooms, 20000 - n) ELSE list_transform(rooms, lambda r, i: CASE WHEN i = p THEN r - n ELSE r END) END, doc_id, n, CASE WHEN p = 0 THEN len(rooms) ELSE p - 1 END
+  FROM (SELECT s.lang, s.shard, s.rooms, r.k, r.doc_id, r.n, coalesce(list_position(list_transform(s.rooms, lambda x: x >= r.n), true), 0) AS p FROM step s JOIN ranked r ON s.lang IS NOT DISTINCT FROM r.lang AND s.shard = r.shard AND r.k = s.k + 1)
+)
+SELECT lang, doc_id, n AS n_chars, shard || '-' || room AS batch FROM step WHERE k > 0""")
 def budget_batches(spark, d):
-    """Documents in batches of two million characters by language, first-fit decreasing (rows only: no SQL for it)."""
-    return graph.budget_batches(t(spark, d, "documents"), 2_000_000, ["lang"], "n_chars", "doc_id")
+    """Documents in batches of 20,000 characters by language, first-fit decreasing."""
+    return graph.budget_batches(t(spark, d, "documents"), 20_000, ["lang"], "n_chars", "doc_id")
 
 
 # Relations over the graph
