@@ -85,7 +85,17 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read from there: lineage ends, and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.cut_path = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote, once all that reads them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of numbers that are broadcast at most: some 50 bytes each, so 50 MB.

@@ -201,8 +201,8 @@ def _places(docs: DataFrame, pair: bool) -> DataFrame:
 
 def _members(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """key, id, slot, first (the first document with that line): each line at the shared places."""
-    made = _slotted(spoken(docs)).select("at", "line", "key", "slot")
-    return cut(meet(made, shared, ["key"], "line").select("at", _id(F.col("line")).alias("id"), "key", "slot").groupBy("key", "id", "slot").agg(F.min("at").alias("first")))
+    made = _slotted(spoken(docs).withColumn("id", _id(F.col("line")))).select("at", "id", "key", "slot")  # no texts, in case they are shuffled
+    return cut(meet(made, shared, ["key"], "at").groupBy("key", "id", "slot").agg(F.min("at").alias("first")))
 
 
 def _rest(line: str, slot: int) -> str | None:
