@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of two benchmark items or more go. Null and empty texts hold none and stay; long ones are searched whole. Each row is judged alone, so there are no ties; a null item counts for nothing."""
+    """Documents that hold a window of any benchmark item go (eight words of it, or all where it has fewer). Null and empty texts hold none and stay; long ones are searched whole. Each row is judged alone, so there are no ties; a null item counts for nothing."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -22,6 +22,7 @@ from leafmill.llm.common import SALTS, cut, doc_words, runs_of, stretches
 
 WINDOW = 8
 SHINGLE = 3
+#: Items from which on the report calls a document contaminated; `clean` drops it for one.
 MIN_ITEMS = 2
 #: Shingles that are broadcast at most: 24 bytes each, so 24 MB.
 BLOCK = 1_000_000
@@ -122,9 +123,9 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated."""
+    """The rows of docs that hold no window of any item."""
     _, hits = find(docs, items, key, text)
-    bad = hits.groupBy("doc", "fp").agg(F.count_distinct("item").alias("n")).where(F.col("n") >= MIN_ITEMS).select("doc", "fp")
+    bad = hits.select("doc", "fp").distinct()
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     kept = rows.join(bad, F.col("row")[key].eqNullSafe(F.col("doc")) & (F.xxhash64(F.col("row")[text]) == F.col("fp")), "left_anti")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
