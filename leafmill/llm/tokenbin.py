@@ -1,8 +1,8 @@
 """Token ids in files of our own: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Predictions of three orders drive the coder. The order-2 context (where it is known, else the order-1 context) guesses the id. The odds that the guess holds come from logistic mixing, with weights learned as the block goes on, of what the order-2 confidence has been worth so far, of what the order-1 confidence has been worth, and of the guess's order-0 frequency. If it does not hold, an order-1 guess of its own has its turn; else the id is coded by its order-0 frequency. Models start anew with every block. What they start from, the order-0 frequencies, is told once for a segment of blocks, so that short blocks need not learn the vocabulary; ids that stand once in a segment are escapes, with their bytes apart. A block is decoded on its own, from its bytes and its segment's frequencies; its entry in the footer has the CRC-32 of its ids and of its bytes.
+Predictions of three orders drive the coder. The order-2 context (where it is known, else the order-1 context) guesses the id. The odds that the guess holds come from logistic mixing: what the order-2 confidence has been worth so far and what the order-1 confidence has been worth, both learned as logarithms of odds, and the guess's order-0 frequency with a learned weight; all three follow the error as the block goes on. If it does not hold, an order-1 guess of its own has its turn; else the id is coded by its order-0 frequency. Models start anew with every block. What they start from, the order-0 frequencies, is told once for a segment of blocks, so that short blocks need not learn the vocabulary; ids that stand once in a segment are escapes, with their bytes apart. A block is decoded on its own, from its bytes and its segment's frequencies; its entry in the footer has the CRC-32 of its ids and of its bytes.
 
-Python steps through the blocks of a segment side by side, one lane of numpy a block: one step codes one id of each of up to `LANES` blocks. All arithmetic is on integers.
+Python steps through the blocks of a segment side by side, one lane of numpy a block: one step codes one id of each of up to `LANES` blocks. Both guesses and the frequency narrow one range of up to 56 bits, which is then moved up by 0 to 3 units of 16 bits, so that every lane does the same in a step. All arithmetic is on integers; of a range as a float only the exponent is read.
 
 File: magic, segments (frequencies, block payloads), footer (documents: id, length; segments: offset, bytes, CRC, blocks; blocks: offset, bytes, ids, CRCs), CRC of the footer, its length, magic.
 
@@ -11,6 +11,8 @@ Documents go to files by ascending doc_id (null first; rows with one id by text,
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -18,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,22 +31,31 @@ from leafmill.llm.common import filesystem, partitions, shared_dir, write_once
 END = 2
 BLOCK = 4096
 LANES = 2048
-MAGIC = b"LMIDS002"
-#: Words kept with their ids in a Python worker.
-CACHE = 400_000
+MAGIC = b"LMIDS003"
+#: Words kept with their ids in a Python worker, and characters of the texts that are parted into words at once.
+CACHE, GROUP = 1_000_000, 16_000_000
 
 _BITS = 12
 _ONE = 1 << _BITS
-_LOW, _HIGH = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_SLOTS = 4096
+_SLOTS = 2048
+#: Steps whose units are put at their places at once.
+_CHUNK = 128
 #: Order-0 frequencies of a segment sum to two to the power of this.
 _TOTAL_BITS = 20
 _TOTAL = 1 << _TOTAL_BITS
 _P = (np.arange(_ONE) + 0.5) / _ONE
 #: The logarithm of odds of a probability, in 256ths, and back.
 _STRETCH = np.clip(np.rint(np.log(_P / (1 - _P)) * 256), -2047, 2047).astype(np.int32)
-_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, _ONE - 32).astype(np.int32)
-_RATE = 6
+_SQUASH = np.clip(np.rint(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, _ONE - 32).astype(np.int64)
+#: What a lane's learned numbers begin with: logarithms of odds in 4096ths by order-2 confidence, then by that and agreement, by order-1 confidence (with the place of even odds in _SQUASH), and odds of the other guess by order-1 confidence.
+_LEARNED = np.array([-3600, -8500, 900, 8000, -9600, -2600, 2600, 5600, *(2047 * 16 + x for x in (-11000, -4400, 900, 7400)), 512, 512, 512, 1024], np.int64)
+_WEIGHT = 10_700
+_GOAL, _RATES, _FOUR = np.int64(_ONE - 1), np.array([[2], [3]]), np.int64(4)
+_SURE, _UNSURE = np.int64(_ONE - 128), np.int64(64)
+_HASH, _SHIFT, _UNIT, _TWO, _THREE = (np.uint32(x) for x in (0x9E3779B1, 21, 1, 2, 3))
+_NONE, _B4, _B8, _B12, _B16, _B20, _B32, _B40, _B48, _B64 = (np.uint64(x) for x in (0, 4, 8, 12, 16, 20, 32, 40, 48, 64))
+#: A range is below 2 to the power of 56.
+_WINDOW, _ALMOST, _TOP = np.uint64((1 << 56) - 1), np.uint64((1 << 40) - 1), np.int64(55 + 1023)
 
 
 class Table:
@@ -50,12 +63,13 @@ class Table:
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, once: int):
         self.ids, self.counts, self.once = ids.astype(np.uint32), counts.astype(np.int64), once
+        self.places: np.ndarray | None = None
         every = np.r_[self.counts, once + 1]
         share = np.maximum(1, every * (_TOTAL - len(every)) // every.sum())
         share[int(share.argmax())] += _TOTAL - int(share.sum())
         self.width, self.start = share.astype(np.uint64), (np.cumsum(share) - share).astype(np.uint64)
-        self.slots = np.repeat(np.arange(len(share), dtype=np.uint32), share)
-        self.worth = np.full(1 << 16, _STRETCH[1], np.int32)  # of an id's lower 16 bits, as an input of the mixing
+        self.slots = np.repeat(np.arange(len(share), dtype=np.uint16 if len(share) <= 1 << 16 else np.uint32), share)
+        self.worth = np.full(1 << 16, _STRETCH[1], np.int64)  # of an id's lower 16 bits, as an input of the mixing
         self.worth[self.ids & 0xFFFF] = _STRETCH[np.clip(share[:-1] >> (_TOTAL_BITS - _BITS), 1, _ONE - 1)]
 
     @classmethod
@@ -66,10 +80,10 @@ class Table:
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """The place of each id in the table; that of the escape for those that it does not have."""
-        if not len(self.ids):
-            return np.zeros(len(ids), np.int64)
-        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-        return np.where(self.ids[at] == ids, at, len(self.ids))
+        if self.places is None:  # up to the largest id that it has
+            self.places = np.full(int(self.ids.max(initial=0)) + 2, len(self.ids))
+            self.places[self.ids] = np.arange(len(self.ids))
+        return self.places.take(ids, mode="clip")
 
     def pack(self) -> bytes:
         columns = (np.diff(self.ids.astype(np.int64), prepend=0).astype("<u4"), self.counts.astype("<u4"))
@@ -85,59 +99,62 @@ class Table:
 
 
 class _Model:
-    """The state of each lane's models, and the odds they give."""
+    """The state of each lane's models, and the odds they give. Numpy's cost a call counts, so what is done for two orders is done in one array of two rows."""
 
     def __init__(self, lanes: int, table: Table):
-        self.lane, self.worth = np.arange(lanes), table.worth
-        self.base = self.lane * _SLOTS
-        self.two = np.zeros(lanes * _SLOTS, np.uint32)  # id << 2 | confidence
-        self.one = np.zeros(lanes * _SLOTS, np.uint32)
-        self.first = np.full(lanes * 8, _ONE // 4, np.int32)  # odds by order-2 confidence and agreement
-        self.mixed = np.full(lanes * 4, _ONE // 4, np.int32)  # by order-1 confidence
-        self.second = np.full(lanes * 4, _ONE // 8, np.int32)
-        self.weights = [np.full(lanes * 8, w, np.int32) for w in (30_000, 22_000, 13_000)]  # 65536: one
-        self.c1 = np.zeros(lanes, np.uint32)
-        self.c2 = np.zeros(lanes, np.uint32)
-
-    def predict(self, k: int) -> None:
-        """Looks up both predictions for the first k lanes."""
-        base, c1, c2 = self.base[:k], self.c1[:k], self.c2[:k]
-        self.i2 = base + ((c2 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA6B)) >> np.uint32(20))
-        self.i1 = base + ((c1 * np.uint32(0x9E3779B1)) >> np.uint32(20))
-        self.s2, self.s1 = self.two[self.i2], self.one[self.i1]
-        n2, self.n1 = self.s2 & 3, self.s1 & 3
-        self.p2, self.p1 = self.s2 >> 2, self.s1 >> 2
-        self.guess = np.where(n2 > 0, self.p2, self.p1)
-        lane = self.lane[:k]
-        self.ia = lane * 8 + n2 * 2 + (self.p2 == self.p1)
-        self.ib = lane * 4 + self.n1
-        self.inputs = (_STRETCH[self.first[self.ia]], _STRETCH[self.mixed[self.ib]], self.worth[self.guess & np.uint32(0xFFFF)])
-        own = [w[self.ia] for w in self.weights]
-        total = (self.inputs[0] * own[0] + self.inputs[1] * own[1] + self.inputs[2] * own[2]) >> 16
-        self.p = _SQUASH[np.clip(total, -2047, 2047) + 2047]
-        self.odds = self.p.astype(np.uint64)
-
-    def learn_first(self, hit: np.ndarray) -> None:
-        goal = np.where(hit, _ONE - 1, 0).astype(np.int32)
-        error = (goal - self.p) * _RATE
-        for w, x in zip(self.weights, self.inputs, strict=True):
-            w[self.ia] += (x * error + 0x8000) >> 16
-        self.first[self.ia] += (goal - self.first[self.ia]) >> 5
-        self.mixed[self.ib] += (goal - self.mixed[self.ib]) >> 5
-
-    def second_odds(self, at: np.ndarray) -> np.ndarray:
-        self.ic = at * 4 + self.n1[at]
-        return np.clip(self.second[self.ic], 32, _ONE - 32).astype(np.uint64)
-
-    def learn_second(self, hit: np.ndarray) -> None:
-        self.second[self.ic] += (np.where(hit, _ONE, 0).astype(np.int32) - self.second[self.ic]) >> 5
-
-    def learn_id(self, ids: np.ndarray, k: int) -> None:
-        for table, i, s, p in ((self.two, self.i2, self.s2, self.p2), (self.one, self.i1, self.s1, self.p1)):
-            n = s & 3
-            table[i] = np.where(p == ids, s + (n < 3), np.where(n > 1, s - 1, ids << 2 | 1))
-        self.c2[:k] = self.c1[:k]
-        self.c1[:k] = ids
+        self.lanes, self.worth = lanes, table.worth
+        self.contexts = np.zeros(2 * lanes * _SLOTS, np.uint32)  # id << 2 | confidence; of order 2, then of order 1
+        self.learned = np.tile(_LEARNED, lanes)
+        self.all_weights = np.full(lanes, _WEIGHT, np.int64)  # of the order-0 logarithm of odds; 65536: one
+        self.mark, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # hashes of the last id and of that before
+        self.narrow(lanes)
+
+    def narrow(self, k: int) -> None:
+        """From now on the first k lanes only."""
+        lane = np.arange(k)
+        self.base = np.stack([lane, lane + self.lanes]) * _SLOTS
+        self.base_learned = np.stack([lane * 16, lane * 16 + 8])
+        self.hashes, self.i, self.j = np.empty((2, k), np.uint32), np.empty((2, k), np.int64), np.empty((3, k), np.int64)
+        self.mark, self.before, self.weights = self.mark[:k], self.before[:k], self.all_weights[:k]
+
+    def predict(self) -> None:
+        """Looks up both predictions. guess, other: what the first and the second is; odds, other_odds: that they hold, the latter 0 where there is no second one."""
+        np.multiply(self.mark, _HASH, out=self.hashes[0])
+        self.hashes[0] += self.before
+        self.hashes[1] = self.mark
+        np.add(self.base, self.hashes >> _SHIFT, out=self.i)
+        self.s = self.contexts.take(self.i)
+        self.n, self.held = self.s & _THREE, self.s >> _TWO
+        held, self.other = self.held
+        agree, (some, known) = held == self.other, self.n != 0
+        self.guess = np.where(some, held, self.other)
+        np.add(self.base_learned, self.n, out=self.j[:2])
+        np.add(self.j[1], 4, out=self.j[2])
+        self.j[0] += agree * _FOUR
+        self.values = self.learned.take(self.j)
+        by_two, by_one, second = self.values
+        self.x = self.worth.take(self.guess, mode="clip")
+        self.p = _SQUASH.take((by_two + by_one + (self.weights * self.x >> 12)) >> 4, mode="clip")
+        self.odds = self.p.view(np.uint64)
+        self.also = (some & known) > agree
+        self.other_odds = (second * self.also).view(np.uint64)
+
+    def learn(self, hit: np.ndarray, again: np.ndarray, ids: np.ndarray) -> None:
+        """hit: the guess held; again: it did not, and the other did, which was asked for."""
+        error = hit * _GOAL - self.p
+        self.weights += self.x * error >> 14
+        values = self.values
+        values[:2] += error >> _RATES
+        values[2] += (again * _SURE + _UNSURE - values[2] >> 5) * (self.also > hit)
+        self.learned[self.j] = values
+        s, n = self.s, self.n
+        self.contexts[self.i] = np.where(self.held == ids, s + (n != _THREE), np.where(n > _UNIT, s - _UNIT, ids << _TWO | _UNIT))
+        self.before, self.mark = self.mark, ids * _HASH
+
+
+def _evened(rng: np.ndarray) -> np.ndarray:
+    """By how many bits, 16 at a time, ranges are moved up to be 2 to the power of 40 or more."""
+    return ((_TOP - (rng.astype(np.float64).view(np.int64) >> 52)) & ~15).view(np.uint64)
 
 
 def encode_blocks(ids: np.ndarray, table: Table, block: int = BLOCK, raw: int = 2) -> list[bytes]:
@@ -150,63 +167,70 @@ def encode_blocks(ids: np.ndarray, table: Table, block: int = BLOCK, raw: int =
 
 def _encode(ids: np.ndarray, table: Table, block: int, raw: int) -> list[bytes]:
     lanes = -(-len(ids) // block)
-    full, places = np.zeros(lanes * block, np.uint32), np.zeros(lanes * block, np.uint32)
-    full[: len(ids)], places[: len(ids)] = ids, table.place(ids)
-    steps, coded_as = (np.ascontiguousarray(x.reshape(lanes, block).T) for x in (full, places))
     last = len(ids) - (lanes - 1) * block
+    if lanes == 1:
+        block = last
+    by_lane = np.r_[ids, np.zeros(lanes * block - len(ids), np.uint32)].reshape(lanes, block)
     model, escape = _Model(lanes, table), len(table.ids)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    units, pos = np.zeros((lanes, 2 * block + 3), np.uint32), np.zeros(lanes, np.int64)
-    kept, many = np.zeros((lanes, int((places == escape).sum()) and block, raw), np.uint8), np.zeros(lanes, np.int64)
-
-    def even(small: np.ndarray) -> None:
-        units[small, pos[small]] = low[small] >> np.uint64(32)
-        pos[small] += 1
-        low[small] = (low[small] & _HIGH) << np.uint64(16)
-        rng[small] <<= np.uint64(16)
-
-    for t in range(block if lanes > 1 else last):
-        k = lanes if t < last else lanes - 1
-        now = steps[t, :k]
-        model.predict(k)
-        hit = model.guess == now
-        bound = (rng[:k] >> np.uint64(_BITS)) * model.odds
-        low[:k] += np.where(hit, np.uint64(0), bound)
-        rng[:k] = np.where(hit, bound, rng[:k] - bound)
-        model.learn_first(hit)
-        missed = ~hit
-        at = np.flatnonzero(missed & (model.n1 > 0) & (model.p1 != model.guess))
-        if len(at):
-            odds = model.second_odds(at)
-            again = model.p1[at] == now[at]
-            r = rng[at]
-            bound = (r >> np.uint64(_BITS)) * odds
-            low[at] += np.where(again, np.uint64(0), bound)
-            rng[at] = np.where(again, bound, r - bound)
-            model.learn_second(again)
-            missed[at[again]] = False
-        even(np.flatnonzero(rng[:k] < _LOW))
-        at = np.flatnonzero(missed)
-        if len(at):
-            i = coded_as[t, at]
-            r = rng[at] >> np.uint64(_TOTAL_BITS)
-            low[at] += table.start[i] * r
-            rng[at] = table.width[i] * r
-            for _ in range(2):
-                even(at[rng[at] < _LOW])
-            at = at[i == escape]
-            for j in range(raw):
-                kept[at, many[at], j] = (now[at] >> np.uint32(8 * j)) & 255
-            many[at] += 1
-        model.learn_id(now, k)
-    for _ in range(3):
-        units[np.arange(lanes), pos] = low >> np.uint64(32)
-        pos += 1
-        low = (low & _HIGH) << np.uint64(16)
+    units, pos = np.zeros((2 * block + 8) * lanes, np.uint32), np.zeros(lanes, np.int32)
+    escaped = np.zeros((block, lanes), bool)
+    k = lanes
+    for first in range(0, block, _CHUNK):
+        n = min(_CHUNK, block - first)
+        tops, moves = np.zeros((n, lanes), np.uint64), np.zeros((n, lanes), np.uint8)
+        steps = np.ascontiguousarray(by_lane[:, first : first + n].T)
+        coded_as = table.place(steps)
+        for j in range(n):
+            t = first + j
+            if t == last and k == lanes > 1:
+                k -= 1
+                model.narrow(k)
+                ended, low, rng = (low[k], rng[k]), low[:k], rng[:k]
+            now, place = steps[j, :k], coded_as[j, :k]
+            model.predict()
+            hit = model.guess == now
+            again = (model.other == now) & model.also > hit
+            one = (rng >> _B12) * model.odds
+            rest = rng - one
+            two = (rest >> _B12) * model.other_odds
+            part = (rest - two) >> _B20
+            low = low + np.where(hit, _NONE, one + np.where(again, _NONE, two + table.start.take(place) * part))
+            rng = np.where(hit, one, np.where(again, two, table.width.take(place) * part))
+            np.equal(place, escape, out=escaped[t, :k])
+            escaped[t, :k] &= ~(hit | again)
+            by = _evened(rng)
+            np.right_shift(low, _B8, out=tops[j, :k])
+            moves[j, :k] = by >> _B4
+            low, rng = np.where(by, low << by & _WINDOW, low), rng << by  # what is not moved keeps its carry
+            model.learn(hit, again, now)
+        _put(units, pos, lanes, tops, moves)
+    if k < lanes:
+        low, rng = np.r_[low, ended[0]], np.r_[rng, ended[1]]
+    # one more unit tells a number within the range, which is 2 to the power of 40 at least
+    tops = ((low + _ALMOST) >> _B40 << _B32)[None]
+    _put(units, pos, lanes, tops, np.ones((1, lanes), np.uint8))
+    units = units.reshape(-1, lanes)
     for i in range(int(pos.max()) - 1, 0, -1):  # carries
-        units[:, i - 1] += units[:, i] >> 16
-    coded = (units & 0xFFFF).astype("<u2")
-    return [struct.pack("<I", int(many[i])) + kept[i, : many[i]].tobytes() + coded[i, : pos[i]].tobytes() for i in range(lanes)]
+        units[i - 1] += units[i] >> _B16
+    coded = np.ascontiguousarray((units[: int(pos.max())] & 0xFFFF).astype(">u2").T)
+    many = escaped.sum(axis=0).tolist()
+    kept = by_lane[escaped.T].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :raw].tobytes()
+    ends = (np.cumsum(many) * raw).tolist()
+    # the first byte is always zero: the range begins at 48 of 56 bits
+    return [struct.pack("<I", m) + kept[e - m * raw : e] + coded[i, :p].tobytes()[1:] for i, (m, e, p) in enumerate(zip(many, ends, pos.tolist(), strict=True))]
+
+
+def _put(units: np.ndarray, pos: np.ndarray, lanes: int, tops: np.ndarray, moves: np.ndarray) -> None:
+    """Puts the units that steps have moved out of the window at their places, a lane's one after the other; pos: how many each lane has. The uppermost one of a step has a carry above its 16 bits."""
+    ends = np.cumsum(moves, axis=0, dtype=np.int32) + pos
+    begins = (ends - moves).reshape(-1)
+    many, tops = moves.reshape(-1), tops.reshape(-1)
+    for j in range(int(many.max(initial=0))):
+        at = np.flatnonzero(many > j)
+        part = tops[at] >> np.uint64(32 - 16 * j)
+        units[(begins[at] + j) * lanes + at % lanes] = part if j == 0 else part & np.uint64(0xFFFF)
+    pos[:] = ends[-1]
 
 
 def decode_blocks(payloads: list[bytes], counts: list[int], table: Table, raw: int = 2) -> list[np.ndarray]:
@@ -223,60 +247,58 @@ def _decode(payloads: list[bytes], counts: np.ndarray, table: Table, raw: int) -
     lanes = len(payloads)
     if not lanes or not lens[0]:
         return [np.zeros(0, np.uint32) for _ in payloads]
-    stored = [struct.unpack_from("<I", payloads[i])[0] for i in order]
-    coded = [np.frombuffer(payloads[i], "<u2", offset=4 + raw * n) for i, n in zip(order, stored, strict=True)]
-    units, kept = np.zeros((lanes, max(map(len, coded)) + 3), np.uint64), np.zeros((lanes, max(stored) + 1, raw), np.uint32)
-    for j, (i, n) in enumerate(zip(order, stored, strict=True)):
-        units[j, : len(coded[j])] = coded[j]
-        kept[j, :n] = np.frombuffer(payloads[i], np.uint8, raw * n, 4).reshape(n, raw)
+    stored = np.array([struct.unpack_from("<I", payloads[i])[0] for i in order], np.int64)
+    kept = [payloads[i][4 : 4 + raw * n] for i, n in zip(order, stored.tolist(), strict=True)]
+    wide = np.zeros((int(stored.sum()) + 1, 4), np.uint8)
+    wide[:-1, :raw] = np.frombuffer(b"".join(kept), np.uint8).reshape(-1, raw)
+    kept, many = wide.view("<u4").reshape(-1), np.cumsum(stored) - stored
+    coded = [payloads[i][4 + raw * n :] for i, n in zip(order, stored.tolist(), strict=True)]
+    coded = [c + bytes(len(c) % 2 + 10) for c in coded]
+    units = np.frombuffer(b"".join(coded) + bytes(8), ">u2").astype(np.uint64)
+    ahead = units[:-3] << _B48 | units[1:-2] << _B32 | units[2:-1] << _B16 | units[3:]  # at each place this unit and the next three
+    sizes = np.array([len(c) // 2 for c in coded], np.int64)
+    pos = np.cumsum(sizes) - sizes
+    limit = len(ahead) - 1
+    code = ahead[pos] >> _B16
+    pos += 3
     model, escape = _Model(lanes, table), len(table.ids)
     ids_at = np.r_[table.ids, np.uint32(0)]
-    code = units[:, 0] << np.uint64(32) | units[:, 1] << np.uint64(16) | units[:, 2]
     rng = np.full(lanes, (1 << 48) - 1, np.uint64)
-    pos, many = np.full(lanes, 3, np.int64), np.zeros(lanes, np.int64)
     found = np.zeros((int(lens[0]), lanes), np.uint32)
-
-    def even(small: np.ndarray) -> None:
-        code[small] = code[small] << np.uint64(16) | units[small, pos[small]]
-        pos[small] += 1
-        rng[small] <<= np.uint64(16)
-
     active = np.searchsorted(-lens, -np.arange(1, int(lens[0]) + 1), side="right")
+    held = lanes
     for t, k in enumerate(active.tolist()):
-        model.predict(k)
-        bound = (rng[:k] >> np.uint64(_BITS)) * model.odds
-        hit = code[:k] < bound
-        code[:k] -= np.where(hit, np.uint64(0), bound)
-        rng[:k] = np.where(hit, bound, rng[:k] - bound)
-        model.learn_first(hit)
-        now, missed = model.guess.copy(), ~hit
-        at = np.flatnonzero(missed & (model.n1 > 0) & (model.p1 != model.guess))
-        if len(at):
-            r = rng[at]
-            bound = (r >> np.uint64(_BITS)) * model.second_odds(at)
-            again = code[at] < bound
-            code[at] -= np.where(again, np.uint64(0), bound)
-            rng[at] = np.where(again, bound, r - bound)
-            model.learn_second(again)
-            now[at] = model.p1[at]
-            missed[at[again]] = False
-        even(np.flatnonzero(rng[:k] < _LOW))
-        at = np.flatnonzero(missed)
+        if k < held:
+            held = k
+            model.narrow(k)
+            code, rng, pos, many = code[:k], rng[:k], pos[:k], many[:k]
+        model.predict()
+        one = (rng >> _B12) * model.odds
+        rest = rng - one
+        two = (rest >> _B12) * model.other_odds
+        part = (rest - two) >> _B20
+        both = one + two
+        hit, miss = code < one, code >= both
+        again = ~(hit | miss)
+        at = np.flatnonzero(miss)
+        now = np.where(hit, model.guess, model.other)
+        code = code - np.where(hit, _NONE, one)
+        rng = np.where(hit, one, two)
         if len(at):
-            r = rng[at] >> np.uint64(_TOTAL_BITS)
-            i = table.slots[np.minimum(code[at] // r, np.uint64(_TOTAL - 1)).astype(np.int64)]
-            code[at] -= table.start[i] * r
-            rng[at] = table.width[i] * r
-            for _ in range(2):
-                even(at[rng[at] < _LOW])
-            now[at] = ids_at[i]
+            own, left = part[at], code[at] - two[at]
+            i = table.slots.take(left // own, mode="clip")
+            code[at] = left - table.start.take(i) * own
+            rng[at] = table.width.take(i) * own
+            now[at] = ids_at.take(i)
             at = at[i == escape]
-            x = np.zeros(len(at), np.uint32)
-            for j in range(raw):
-                x |= kept[at, np.minimum(many[at], kept.shape[1] - 1), j] << np.uint32(8 * j)
-            now[at] = x
-            many[at] += 1
-        model.learn_id(now, k)
+            if len(at):
+                now[at] = kept.take(many[at], mode="clip")
+                many[at] += 1
+        by = _evened(rng)
+        code = code << by | ahead.take(pos, mode="clip") >> (_B64 - by)
+        rng = rng << by
+        pos = pos + (by >> _B4).view(np.int64)
+        model.learn(hit, again, now)
         found[t, :k] = now
     back = np.empty(lanes, np.int64)
     back[order] = np.arange(lanes)
@@ -316,7 +338,7 @@ class Writer:
         self.out.write(told)
         self.at += len(told)
         for i, payload in enumerate(encode_blocks(now, table, self.block, self.raw)):
-            own = now[i * self.block : (i + 1) * self.block].astype("<u4")
+            own = now[i * self.block : (i + 1) * self.block].astype("<u4", copy=False)
             self.blocks.append((self.at, len(payload), len(own), zlib.crc32(own), zlib.crc32(payload)))
             self.out.write(payload)
             self.at += len(payload)
@@ -363,7 +385,7 @@ def read_file(data, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
                 if any(zlib.crc32(p) != c for p, c in zip(payloads, own[:, 4].tolist(), strict=True)):
                     raise ValueError("a block's bytes are damaged")
                 for x, c in zip(decode_blocks(payloads, own[:, 2].tolist(), table, raw), own[:, 3].tolist(), strict=True):
-                    if zlib.crc32(x.astype("<u4")) != c:
+                    if zlib.crc32(x.astype("<u4", copy=False)) != c:
                         raise ValueError("a block's ids are damaged")
                     yield x
             first += n
@@ -381,30 +403,167 @@ def read_file(data, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         rest = rest[n:]
 
 
-#: Python's white space that the tokenizer's is not, and the rest of Python's.
-_MARKS = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile(r"[^\S\x1c-\x1f]+")
-_words: dict[str, dict[str, bytes]] = {}
-_models: dict[str, object] = {}
+#: What a vocabulary's texts must go through for words to be independent: neither looks across ASCII white space, nor from a letter or digit to the punctuation that ends its word.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
+def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each, one after the other."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    for i in range(0, len(size), 16_384):  # what is small stays in the cache
+        some, first = slice(i, i + 16_384), int(ends[i - 1]) if i else 0
+        at = np.repeat(start[some] - ends[some] + size[some], size[some])
+        at += np.arange(first, first + len(at))
+        flat.take(at, out=out[first : first + len(at)], mode="clip")
+    return out
+
+
+class _Words:
+    """Ids of words by one vocabulary. What was encoded is kept, in Arrow and numpy: some 30 bytes a word; CACHE words, or those of one group of texts where they are more."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        splitter = own["pre_tokenizer"] or {}
+        regex = [x.get("pattern", {}).get("Regex") for x in splitter.get("pretokenizers", [])]
+        plain = not any(own[k] for k in ("truncation", "padding", "post_processor")) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].isalnum() or not re.fullmatch("[!-~]+", t["content"]) for t in own["added_tokens"])
+        #: False: of other vocabularies the library gets whole texts.
+        self.apart = plain and (own["normalizer"] or {}).get("normalizers") == _NORMALIZERS and regex == [_SPLITS, None] and splitter["pretokenizers"][1]["type"] == "ByteLevel" and not splitter["pretokenizers"][1]["add_prefix_space"]
+        self.added = [t["content"].lower() for t in own["added_tokens"]]
+        #: The same vocabulary without what leaves words of a-z as they are: normalizer, splitter within words, added tokens.
+        self.bare = Tokenizer(self.model.model) if self.apart else self.model
+        if self.apart:
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        end = own["model"].get("end_of_word_suffix")
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        #: Of each id: whether it ends a word.
+        self.ends = np.zeros(max(self.model.get_vocab().values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if end and t.endswith(end)]] = True
+        self.words, self.start, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; ASCII ones are in lower case. Words of letters go to the library many in one text, as long as just as many ids end a word."""
+        size, parts, alone, place = np.zeros(len(words), np.int64), [], [], []
+        letters = [i for i, w in enumerate(words) if w.isalpha()] if self.ends.any() else []
+        simple = [i for i in letters if words[i].isascii()]
+        others = [i for i in letters if not words[i].isascii()]
+        for model, own, i in [(self.bare, simple, i) for i in range(0, len(simple), 500)] + [(self.model, others, i) for i in range(0, len(others), 500)]:
+            some = own[i : i + 500]
+            ids = np.array(model.encode_batch_fast([" ".join([words[j] for j in some])], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.ends.take(ids))
+            if len(at) == len(some) and at[-1] == len(ids) - 1:
+                size[some] = np.diff(at, prepend=-1)
+                parts.append(ids)
+                place += some
+            else:
+                alone += some
+        alone += np.setdiff1d(np.arange(len(words)), letters).tolist()
+        for i in range(0, len(alone), 5000):
+            some = alone[i : i + 5000]
+            found = [e.ids for e in self.model.encode_batch_fast([words[j] for j in some], add_special_tokens=False)]
+            size[some] = [len(x) for x in found]
+            parts += [np.array(x, np.uint32) for x in found]
+            place += some
+        order = np.array(place, np.int64)
+        own = np.empty(len(words), np.int64)
+        own[order] = np.cumsum(size[order]) - size[order]
+        return _ragged(np.concatenate([*parts, np.zeros(0, np.uint32)]), own, size), size
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: all ids of the store, and where each word's ids begin and how many there are."""
+        at = pc.index_in(words, self.words)
+        if at.null_count and len(self.words) + at.null_count > CACHE:  # of a full store what is needed now stays
+            kept = at.drop_null()
+            old = kept.to_numpy().astype(np.int64)
+            size = self.start[old + 1] - self.start[old]
+            self.words, self.ids, self.start = self.words.take(kept), _ragged(self.ids, self.start[old], size), np.r_[0, np.cumsum(size)]
+            at = pc.index_in(words, self.words)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            ids, size = self._encode(new.to_pylist())
+            i = at.fill_null(-1).to_numpy().astype(np.int64)
+            i[i < 0] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.start = np.r_[self.start, self.start[-1] + np.cumsum(size)]
+            self.ids = np.concatenate([self.ids, ids])
+        else:
+            i = at.to_numpy().astype(np.int64)
+        return self.ids, self.start[i], self.start[i + 1] - self.start[i]
+
+    def cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Of each word what comes before the ASCII punctuation at its end, ASCII words in lower case, and that punctuation. A word stays whole where no ASCII letter or digit stands before it, or where it may hold an added token."""
+        lower, ascii_only = pc.ascii_lower(words), pc.string_is_ascii(words)
+        held = np.zeros(len(words), bool)
+        for token in self.added:
+            held |= pc.match_substring(lower, token).to_numpy(zero_copy_only=False)
+        start, full, data = _bytes_of(words)
+        size = pc.binary_length(pc.ascii_rtrim(words, characters=_PUNCTUATION)).to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = held | (size == 0)
+        whole[~whole] = ~_ALNUM[data[(start + size - 1)[~whole]]]
+        size = np.where(whole, full, size)
+        stems = _strings(data, start, size)
+        return pc.if_else(pa.array(ascii_only.to_numpy(zero_copy_only=False) & ~held), pc.ascii_lower(stems), stems), _strings(data, start + size, full - size)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.apart:
+            return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        ends = words.offsets.to_numpy().astype(np.int64)
+        flat = words.values.dictionary_encode()
+        one = pa.concat_arrays(self.cut(flat.dictionary)).dictionary_encode()
+        ids, start, size = self.of(one.dictionary)
+        # ids of a distinct word: those of both its parts
+        both = one.indices.to_numpy().reshape(2, -1).T.reshape(-1)
+        ids, sizes = _ragged(ids, start[both], size[both]), size[both].reshape(-1, 2).sum(axis=1)
+        place = flat.indices.to_numpy()
+        until = np.r_[0, np.cumsum(sizes[place])][ends]
+        ids = _ragged(ids, (np.cumsum(sizes) - sizes)[place], sizes[place])
+        return [ids[i:j] for i, j in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the bytes of each string begin, how many there are, and all bytes."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    return ends[:-1], np.diff(ends), np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+
+def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(_ragged(data, start, size)))
+
+
+_stores: dict[str, _Words] = {}
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The ids of each text, without special ones. What stands between white space (the tokenizer's: Python's without U+001C to U+001F) is encoded once and kept: neither the normaliser nor the splitter of this kind of vocabulary looks across white space."""
-    from tokenizers import Tokenizer
-
-    if path not in _models:
-        _models[path], _words[path] = Tokenizer.from_file(path), {}
-    model, known = _models[path], _words[path]
-    parts = [[w for w in _SPACES.split(t) if w] if _MARKS.search(t) else t.split() for t in texts]
-    new = list({w for p in parts for w in p if w not in known})
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list({w for p in parts for w in p})
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for w, e in zip(some, model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
+    """The ids of each text, without special ones, from the library. What stands between ASCII white space is encoded once, apart from the punctuation at its end, and kept; texts go in groups of GROUP characters."""
+    if path not in _stores:
+        _stores[path] = _Words(path)
+    out: list[np.ndarray] = []
+    for some in _groups(texts):
+        out += _stores[path].encode(some)
+    return out
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts of GROUP characters together, or one longer one."""
+    first = held = 0
+    for i, t in enumerate(texts):
+        if i > first and held + len(t) > GROUP:
+            yield texts[first:i]
+            first, held = i, 0
+        held += len(t)
+    if first < len(texts):
+        yield texts[first:]
 
 
 def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, raw: int = 2) -> tuple[str, DataFrame]:
@@ -425,11 +584,9 @@ def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "tex
             nonlocal total
             writer = Writer(out, raw=raw)
             for x in batches:
-                for i in range(0, len(x), 500):
-                    rows = x.iloc[i : i + 500]
-                    for d, known, ids in zip(rows["doc"].tolist(), rows["known"].tolist(), encode_texts(tokenizer, rows["text"].tolist()), strict=True):
-                        writer.add(d if known else None, np.concatenate([ids, stop]))
-                        total += len(ids) + 1
+                for d, known, ids in zip(x["doc"].tolist(), x["known"].tolist(), encode_texts(tokenizer, x["text"].tolist()), strict=True):
+                    writer.add(d if known else None, np.concatenate([ids, stop]))
+                    total += len(ids) + 1
             writer.close()
 
         name = write_once(folder, f"ids-{part:06d}", fill)
@@ -452,7 +609,7 @@ def read(folder: str, files: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 with system.open_input_file(f"{path}/{name}") as data:
                     for doc, ids in read_file(data, data.size()):
-                        rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4"))))
+                        rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                         start += len(ids)
                         if len(rows) == 20_000:
                             yield _frame(rows)
@@ -460,7 +617,7 @@ def read(folder: str, files: DataFrame) -> DataFrame:
                 yield _frame(rows)
 
     spark = files.sparkSession
-    return placed.repartition(max(1, min(partitions(spark), files.count())), "part").mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.repartition(max(1, min(partitions(spark), files.count()))).mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

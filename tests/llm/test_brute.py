@@ -117,6 +117,98 @@ def test_word_store_parts_words_as_the_tokenizer_does():
     assert [a.tolist() for a in tokenbin.encode_texts(path, texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_library_gets_each_word_once_and_many_together(monkeypatch, tmp_path, docs):
+    """Words that differ in case or in the punctuation after them are one, and most go to the library many in one text: a call's cost for each word was most of op4's time."""
+    import shutil
+
+    import public_tokenizers
+    import tokenizers
+
+    whole = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got: list[str] = []
+
+    class Counting:
+        from_file = staticmethod(lambda path: Counting(kept=whole))
+
+        def __init__(self, model=None, kept=None):
+            self.__dict__["kept"] = kept or library(model)
+
+        def __getattr__(self, name):
+            return getattr(self.kept, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.kept, name, value)
+
+        def encode_batch_fast(self, texts, **options):
+            got.extend(texts)
+            return self.kept.encode_batch_fast(texts, **options)
+
+    library = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    path = shutil.copy(public_tokenizers.path("word_bpe_49k.json"), tmp_path)
+    texts = ["Word word, WORD. word!) (word", "word word;"] + [t or "" for t in docs["text"]]
+    made = tokenbin.encode_texts(path, texts)
+    assert [a.tolist() for a in made] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    words = [w for t in got for w in t.split()]
+    assert sum(w.lower().strip("!.,;)(") == "word" for w in words) == 2 and len(got) < len({w for t in texts for w in t.split()}) / 10
+
+
+def test_words_that_look_past_their_parts():
+    """Composition, lower case, added tokens and contractions, at the places where words are cut."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    rnd = random.Random(7)
+    marks = ["H\u0331", "h\u0331,", "\u0331", "=\u0338", "A\u030a.", "İ", "\u212a", "\u0958", "\u1100\u1161", "ΑΣ", "ß", "ǅ", "<|ENDOFTEXT|>", "<|endoftext|>", "<|", "'s", "'S", "'", "'ll", "1", "²", "x", "Y", ".", ",", "…", " ", "\n", "\u00a0", "\x1f", "\x00", "é", "漢", "😀"]
+    texts = marks + ["".join(rnd.choice(marks) for _ in range(rnd.randint(0, 30))) for _ in range(3000)] + [""]
+    assert [a.tolist() for a in tokenbin.encode_texts(path, texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [a.tolist() for a in tokenbin.encode_texts(path, ["", ""])] == [[], []]
+    assert tokenbin.encode_texts(path, []) == []
+
+
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    """Here white space is part of the words, so that words are not independent."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        own = json.load(f)
+    own["normalizer"], own["pre_tokenizer"] = None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(own))
+    model, texts = Tokenizer.from_file(str(path)), ["One  two, THREE", "a\n b", ""]
+    assert [a.tolist() for a in tokenbin.encode_texts(str(path), texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_store_of_words_is_bounded(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenbin, "CACHE", 50)
+    monkeypatch.setattr(tokenbin, "GROUP", 100)
+    texts = [f"word{i} other{i % 7}, {'x' * (i % 130)}" for i in range(200)]
+    assert [a.tolist() for a in tokenbin.encode_texts(path, texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(tokenbin._stores[path].words) <= 60
+
+
+def test_carries_run_through_units():
+    """Frequent and rare ids in turns move ranges by no unit to three at once, and lanes end at each place of a unit."""
+    rng = np.random.default_rng(8)
+    for n in (3, 4095, 5000, 8192, 30_001):
+        ids = np.where(rng.random(n) < 0.9, 5, rng.integers(0, 65536, n)).astype(np.uint32)
+        ids[: n // 3] = rng.integers(0, 3, n // 3)
+        table = tokenbin.Table.of(ids)
+        counts = [min(tokenbin.BLOCK, n - i) for i in range(0, n, tokenbin.BLOCK)]
+        back = tokenbin.decode_blocks(tokenbin.encode_blocks(ids, table), counts, table)
+        assert np.array_equal(np.concatenate(back), ids)
+
+
 def _piece_path():
     import public_tokenizers
 
