@@ -7,7 +7,7 @@ What "best" means follows the model's type:
 * unigram: the sum of piece scores, as in the library's own search.
 * BPE: a path is alive only while each two neighbouring pieces are what merging their joint text by rank gives. Such a path is the merge result for the whole text, and of each prefix exactly one is alive, so the search returns the merge result without ever holding the whole text.
 
-Characters in no piece become byte pieces, or the unknown piece where the model has none. White space before a word is part of the word's piece, and no piece holds it further inside (this is checked on loading); so words are searched one by one. Words no longer than a few windows take one run of an automaton over all pieces, which tells at each place the pieces that end there; longer ones are searched in windows. Results are kept for the next time, in a store of bounded size that is emptied at the end of each partition.
+Characters in no piece become byte pieces, or the unknown piece where the model has none. White space before a word is part of the word's piece, and no piece holds it further inside (this is checked on loading); so words are searched one by one. Words no longer than a few windows take one run of an automaton over all pieces, which tells at each place the pieces that end there; longer ones are searched in windows. Texts are parted into words many at once, in Arrow, and each distinct word is looked up once; results are kept for the next time, in a store of bounded size that is emptied at the end of each partition.
 
 Null text counts as empty and has no ids; so does empty text. Rows are coded one by one: repeated rows and rows with one id each have a result. A search has no ties: of equal unigram scores the first path found stays, and of BPE paths one is alive. An empty table gives no rows. Columns other than id and text are not read, whatever their names.
 """
@@ -23,42 +23,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from leafmill.llm.words import Store, groups, ragged
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Words of up to KEPT_CHARS characters kept with their ids in a Python worker, in two generations of half as many: some 250 bytes each, so 30 MB at most.
-CACHE, KEPT_CHARS = 120_000, 48
+#: Words kept with their ids in a Python worker: some 35 bytes each.
+CACHE = 600_000
+#: Characters of the texts whose ids are held at once.
+GROUP = 8_000_000
 #: Pairs of pieces whose check is kept: some 110 bytes each, so 33 MB at most.
 PAIRS = 300_000
 #: Stands before the first piece, as the upper half of a pair.
 _START = 1 << 48
 
 
-class _Known(dict):
-    """What make(word) gave, in two generations; a full one takes the place of the older."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, word: str) -> bytes:
-        made = self.older.get(word)
-        if made is None:
-            made = self.make(word)
-        if len(word) <= KEPT_CHARS:
-            if len(self) >= CACHE // 2:
-                self.older = dict(self)
-                self.clear()
-            self[word] = made
-        return made
-
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
-
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Field numbers and raw values of a protocol buffer message."""
     at = 0
@@ -114,7 +96,9 @@ class Model:
         self.plain_newline = not any("\n" in p for p in self.ids)
         self.text = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.sizes = [len(p) for p in self.pieces]
-        self.known = _Known(self._ids_of)
+        self.store = Store(self._ids_of_all, CACHE)
+        self.text_size = np.array([len(t) for t in self.text], np.int64)
+        self.text_start, self.all_text = np.cumsum(self.text_size) - self.text_size, np.frombuffer(b"".join(self.text), np.uint8)
         self.pairs: dict[int, bool] = {}
         #: What pieces begin with, and the ids of those that a search can use; -1 for the others.
         self.nodes = {p[:k]: -1 for p in self.ids for k in range(1, len(p))} | {p: i if self.kind != BPE or self._merge(p) == [p] else -1 for p, i in self.ids.items()}
@@ -236,20 +220,79 @@ class Model:
                 out += [i] if i is not None else self._bytes_of(p)
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a text."""
+    def _ids_of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self._ids_of, words))
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _words(self, text: str) -> list[str]:
+        """The words of any text, one by one."""
         if not text:
-            return np.zeros(0, "<u4")
+            return []
         spaced = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        words = _WORD.findall(spaced) if self.plain_newline else _SPACED.findall(spaced)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+        return _WORD.findall(spaced) if self.plain_newline else _SPACED.findall(spaced)
+
+    def _plain(self, text: str) -> bool:
+        """Whether a text's words are what stands between its single spaces, each with one before it."""
+        return bool(text) and self.prefix and text[0] != " " and "  " not in text and SPACE not in text and _NO_SPACE not in text
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text. Places are told by numbers of distinct words; those of plain texts come from Arrow."""
+        texts = [t or "" for t in texts]
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
+        others = [i for i, t in enumerate(texts) if not self._plain(t)]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        try:
+            parts = pa.array([texts[i] for i in plain], pa.string())
+        except UnicodeEncodeError:  # a surrogate on its own is no string of Arrow's
+            plain, others = [], list(range(len(texts)))
+        if plain:
+            if self.plain_newline:  # a word of its own, and no space before what follows
+                parts = pc.replace_substring(parts, "\n", f" \n {_NO_SPACE}")
+            parts = pc.split_pattern(parts, " ")
+            flat = parts.values.dictionary_encode()
+            words, bare = flat.dictionary, pc.starts_with(flat.dictionary, _NO_SPACE)
+            words = pc.if_else(bare, pc.utf8_slice_codeunits(words, 1), pc.if_else(pc.equal(words, "\n") if self.plain_newline else False, words, pc.binary_join_element_wise(SPACE, words, "")))
+            self._put(out, plain, words, flat.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64))
+        if others:
+            listed = [self._words(texts[i]) for i in others]
+            number: dict[str, int] = {}
+            places = np.array([number.setdefault(w, len(number)) for x in listed for w in x], np.int64)
+            self._put(out, others, list(number), places, np.cumsum([0, *map(len, listed)]))
+        return out
+
+    def _put(self, out: list[np.ndarray], at: list[int], words: pa.Array | list[str], places: np.ndarray, ends: np.ndarray) -> None:
+        """Puts the ids of texts at their places in out. places: of all words, in order; ends: where the texts part."""
+        try:
+            own = pa.array(words, pa.string()).dictionary_encode()
+            ids, start, size = self.store.of(own.dictionary)
+            start, size = start[own.indices.to_numpy()], size[own.indices.to_numpy()]
+        except UnicodeEncodeError:
+            ids, size = self._ids_of_all(words)
+            start = np.cumsum(size) - size
+        until = np.r_[0, np.cumsum(size[places])][ends].tolist()
+        ids = ragged(ids, start[places], size[places])
+        for i, a, b in zip(at, until[:-1], until[1:], strict=True):
+            out[i] = ids[a:b]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a text."""
+        return self.encode_all([text])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each array of ids; bytes that are no UTF-8 become U+FFFD."""
+        flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        size = self.text_size[flat]
+        data = ragged(self.all_text, self.text_start[flat], size).tobytes()
+        until = np.r_[0, np.cumsum(size)][np.cumsum([0, *map(len, ids)])].tolist()
+        return [data[a + (self.prefix and data[a : min(a + 1, b)] == b" ") : b].decode("utf-8", "replace") for a, b in zip(until[:-1], until[1:], strict=True)]
 
     def decode(self, ids) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        data = b"".join(map(self.text.__getitem__, ids))
-        return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
+        """The text of ids."""
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
 
 
+#: Stands before words without a space before them while texts are parted.
+_NO_SPACE = "\0"
 #: Words with the white space before them; the second also parts words at newlines, which no piece holds.
 _SPACED = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -261,23 +304,20 @@ def load(path: str) -> Model:
         return Model(f.read())
 
 
-#: Texts whose ids are held at once.
-ROWS = 256
-
-
 def _of_texts(docs: DataFrame, model: str, key: str, text: str, columns: str, make) -> DataFrame:
-    """key and what make(model, texts) gives (Arrow arrays), in batches of ROWS; ids never leave Arrow, so that nulls and large ones stay as they are."""
+    """key and what make(model, texts) gives (Arrow arrays), in batches of GROUP characters; ids never leave Arrow, so that nulls and large ones stay as they are."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
         try:
             for b in batches:
-                for i in range(0, b.num_rows, ROWS):
-                    part = b.slice(i, ROWS)
-                    yield pa.RecordBatch.from_arrays([part.column(0), *make(own, part.column(1).to_pylist())], names=["key", *names])
+                at = 0
+                for texts in groups([t or "" for t in b.column(1).to_pylist()], GROUP):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *make(own, texts)], names=["key", *names])
+                    at += len(texts)
         finally:  # workers outlive their tasks
-            own.known.forget()
+            own.store.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
@@ -286,10 +326,10 @@ def _of_texts(docs: DataFrame, model: str, key: str, text: str, columns: str, ma
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, decoded for each row of docs. model: a path that every executor has."""
 
-    def make(own: Model, texts: list[str | None]) -> list[pa.Array]:
-        ids = [own.encode(t) for t in texts]
+    def make(own: Model, texts: list[str]) -> list[pa.Array]:
+        ids = own.encode_all(texts)
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))), pa.array([own.decode(a.tolist()) for a in ids], pa.string())]
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))), pa.array(own.decode_all(ids), pa.string())]
 
     return _of_texts(docs, model, key, text, "ids array<int>, decoded string", make)
 
@@ -297,11 +337,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
 def report(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256 and exact (the decoded text is the text) for each row of docs."""
 
-    def make(own: Model, texts: list[str | None]) -> list[pa.Array]:
+    def make(own: Model, texts: list[str]) -> list[pa.Array]:
         rows = []
-        for t in texts:
-            ids = own.encode(t)
-            back = own.decode(ids.tolist())
+        every = own.encode_all(texts)
+        for t, ids, back in zip(texts, every, own.decode_all(every), strict=True):
             rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")))
         return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.bool_()))]
 

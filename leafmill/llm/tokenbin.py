@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.llm.common import filesystem, partitions, shared_dir, write_once
+from leafmill.llm.words import GROUP, Store, groups, ragged
 
 END = 2
 BLOCK = 4096
 LANES = 2048
 MAGIC = b"LMIDS003"
-#: Words kept with their ids in a Python worker, and characters of the texts that are parted into words at once.
-CACHE, GROUP = 1_000_000, 16_000_000
+#: Words kept with their ids in a Python worker.
+CACHE = 1_000_000
 
 _BITS = 12
 _ONE = 1 << _BITS
@@ -410,20 +411,8 @@ _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 
 
-def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[start : start + size] of each, one after the other."""
-    ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
-    for i in range(0, len(size), 16_384):  # what is small stays in the cache
-        some, first = slice(i, i + 16_384), int(ends[i - 1]) if i else 0
-        at = np.repeat(start[some] - ends[some] + size[some], size[some])
-        at += np.arange(first, first + len(at))
-        flat.take(at, out=out[first : first + len(at)], mode="clip")
-    return out
-
-
 class _Words:
-    """Ids of words by one vocabulary. What was encoded is kept, in Arrow and numpy: some 30 bytes a word; CACHE words, or those of one group of texts where they are more."""
+    """Ids of words by one vocabulary. What was encoded is kept: some 30 bytes a word, and CACHE words."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -447,7 +436,7 @@ class _Words:
         #: Of each id: whether it ends a word.
         self.ends = np.zeros(max(self.model.get_vocab().values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if end and t.endswith(end)]] = True
-        self.words, self.start, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.store = Store(self._encode, CACHE)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has; ASCII ones are in lower case. Words of letters go to the library many in one text, as long as just as many ids end a word."""
@@ -475,28 +464,7 @@ class _Words:
         order = np.array(place, np.int64)
         own = np.empty(len(words), np.int64)
         own[order] = np.cumsum(size[order]) - size[order]
-        return _ragged(np.concatenate([*parts, np.zeros(0, np.uint32)]), own, size), size
-
-    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For distinct words: all ids of the store, and where each word's ids begin and how many there are."""
-        at = pc.index_in(words, self.words)
-        if at.null_count and len(self.words) + at.null_count > CACHE:  # of a full store what is needed now stays
-            kept = at.drop_null()
-            old = kept.to_numpy().astype(np.int64)
-            size = self.start[old + 1] - self.start[old]
-            self.words, self.ids, self.start = self.words.take(kept), _ragged(self.ids, self.start[old], size), np.r_[0, np.cumsum(size)]
-            at = pc.index_in(words, self.words)
-        if at.null_count:
-            new = words.filter(at.is_null())
-            ids, size = self._encode(new.to_pylist())
-            i = at.fill_null(-1).to_numpy().astype(np.int64)
-            i[i < 0] = np.arange(len(self.words), len(self.words) + len(new))
-            self.words = pa.concat_arrays([self.words, new])
-            self.start = np.r_[self.start, self.start[-1] + np.cumsum(size)]
-            self.ids = np.concatenate([self.ids, ids])
-        else:
-            i = at.to_numpy().astype(np.int64)
-        return self.ids, self.start[i], self.start[i + 1] - self.start[i]
+        return ragged(np.concatenate([*parts, np.zeros(0, np.uint32)]), own, size), size
 
     def cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Of each word what comes before the ASCII punctuation at its end, ASCII words in lower case, and that punctuation. A word stays whole where no ASCII letter or digit stands before it, or where it may hold an added token."""
@@ -519,13 +487,13 @@ class _Words:
         ends = words.offsets.to_numpy().astype(np.int64)
         flat = words.values.dictionary_encode()
         one = pa.concat_arrays(self.cut(flat.dictionary)).dictionary_encode()
-        ids, start, size = self.of(one.dictionary)
+        ids, start, size = self.store.of(one.dictionary)
         # ids of a distinct word: those of both its parts
         both = one.indices.to_numpy().reshape(2, -1).T.reshape(-1)
-        ids, sizes = _ragged(ids, start[both], size[both]), size[both].reshape(-1, 2).sum(axis=1)
+        ids, sizes = ragged(ids, start[both], size[both]), size[both].reshape(-1, 2).sum(axis=1)
         place = flat.indices.to_numpy()
         until = np.r_[0, np.cumsum(sizes[place])][ends]
-        ids = _ragged(ids, (np.cumsum(sizes) - sizes)[place], sizes[place])
+        ids = ragged(ids, (np.cumsum(sizes) - sizes)[place], sizes[place])
         return [ids[i:j] for i, j in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
 
 
@@ -538,7 +506,7 @@ def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(_ragged(data, start, size)))
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(ragged(data, start, size)))
 
 
 _stores: dict[str, _Words] = {}
@@ -549,23 +517,11 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     if path not in _stores:
         _stores[path] = _Words(path)
     out: list[np.ndarray] = []
-    for some in _groups(texts):
+    for some in groups(texts, GROUP):
         out += _stores[path].encode(some)
     return out
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Texts of GROUP characters together, or one longer one."""
-    first = held = 0
-    for i, t in enumerate(texts):
-        if i > first and held + len(t) > GROUP:
-            yield texts[first:i]
-            first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield texts[first:]
-
-
 def write(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = END, raw: int = 2) -> tuple[str, DataFrame]:
     """Writes the ids of all documents to files in a new shared folder. Returns its URI and the committed file table: part (files in document order), file, n_ids."""
     spark = docs.sparkSession

@@ -192,9 +192,10 @@ def test_store_of_words_is_bounded(monkeypatch):
     model = Tokenizer.from_file(path)
     monkeypatch.setattr(tokenbin, "CACHE", 50)
     monkeypatch.setattr(tokenbin, "GROUP", 100)
+    monkeypatch.setattr(tokenbin, "_stores", {})
     texts = [f"word{i} other{i % 7}, {'x' * (i % 130)}" for i in range(200)]
     assert [a.tolist() for a in tokenbin.encode_texts(path, texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
-    assert len(tokenbin._stores[path].words) <= 60
+    assert len(tokenbin._stores[path].store.words) <= 60
 
 
 def test_carries_run_through_units():
@@ -240,6 +241,32 @@ def test_pieces_of_odd_texts():
         assert model.decode(ids) == t
 
 
+def test_each_word_is_searched_once(monkeypatch):
+    """Also where a text has more words than the store of 120,000 that there was, which forgot them before they came again."""
+    model = pieces.Model(open(_piece_path(), "rb").read())
+    calls, plain = [], pieces.Model._ids_of
+    monkeypatch.setattr(pieces.Model, "_ids_of", lambda self, word: calls.append(word) or plain(self, word))
+    words = [f"w{i:x}" for i in range(130_000)]
+    ids = model.encode(" ".join(words + words)).tolist()
+    assert len(calls) == len(words) and ids[: len(ids) // 2] == ids[len(ids) // 2 :]
+
+
+def test_words_come_apart_at_any_white_space(monkeypatch):
+    """Texts whose words Arrow parts and those whose words it does not, together, with a store that is always full."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "CACHE", 5)
+    model, library = pieces.Model(open(_piece_path(), "rb").read()), sentencepiece.SentencePieceProcessor(model_file=_piece_path())
+    rnd = random.Random(9)
+    texts = ["", " ", "\n", " a", "a ", "a\n b", "a \nb", "\n\na", "a\n", "a  b", "▁a ▁", "a▁ b", "\t x", "a\r\nb"] + ["".join(rnd.choice([" ", " ", "\n", "▁", "  ", "the", "of", "ing", "x", "é", "漢", "\t"]) for _ in range(rnd.randint(0, 12))) for _ in range(1500)]
+    made = model.encode_all([*texts, None])
+    assert [a.tolist() for a in made] == [*map(library.encode, texts), []]
+    assert model.decode_all(made) == [*(t.replace("▁", " ") for t in texts), ""]  # U+2581 is white space to the model
+    odd = [t.replace("x", "\0").replace("of", "\ud800") for t in texts]
+    plain = [[int(i) for w in model._words(t) for i in np.frombuffer(model._ids_of(w), "<u4")] for t in odd]
+    assert [a.tolist() for a in model.encode_all(odd)] == plain
+
+
 def test_unigram_search_is_optimal():
     """The same vocabulary as a unigram model: path scores equal those of a search over the whole text."""
     model = pieces.Model(open(_piece_path(), "rb").read())
