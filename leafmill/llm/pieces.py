@@ -26,15 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from leafmill.llm.words import Store, groups, ragged
+from leafmill.llm.words import Store, ragged
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Words kept with their ids in a Python worker: some 35 bytes each.
-CACHE = 600_000
-#: Characters of the texts whose ids are held at once.
-GROUP = 8_000_000
+CACHE = 250_000
+#: Bytes of the texts whose ids are held at once.
+GROUP = 1_000_000
 #: Pairs of pieces whose check is kept: some 110 bytes each, so 33 MB at most.
 PAIRS = 300_000
 #: Stands before the first piece, as the upper half of a pair.
@@ -305,19 +305,22 @@ def load(path: str) -> Model:
 
 
 def _of_texts(docs: DataFrame, model: str, key: str, text: str, columns: str, make) -> DataFrame:
-    """key and what make(model, texts) gives (Arrow arrays), in batches of GROUP characters; ids never leave Arrow, so that nulls and large ones stay as they are."""
+    """key and what make(model, texts) gives (Arrow arrays), in batches of GROUP bytes of texts, or of one longer text; ids never leave Arrow, so that nulls and large ones stay as they are."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
         try:
             for b in batches:
-                at = 0
-                for texts in groups([t or "" for t in b.column(1).to_pylist()], GROUP):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *make(own, texts)], names=["key", *names])
-                    at += len(texts)
+                ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+                while at < b.num_rows:
+                    end = max(at + 1, int(np.searchsorted(ends, GROUP + (int(ends[at - 1]) if at else 0), side="right")))
+                    part = b.slice(at, end - at)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *make(own, [t or "" for t in part.column(1).to_pylist()])], names=["key", *names])
+                    at = end
         finally:  # workers outlive their tasks
             own.store.forget()
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, {columns}").withColumnRenamed("key", key)
